@@ -147,12 +147,16 @@ def read(tables: Tables, src: str, lexed: Lexed | None = None):
     prev = None
     match = _TOK.match
 
+    def asi(at):
+        m.feed("ASI", ";", line)
+        out.tokens.append(("ASI", "", line, at, at))
+
     def feed(kind, text, start, end):
         nonlocal nl, prev
         if nl and prev in ("return", "break", "continue", "yield") and accepts("ASI") and not (kind == ";"):
-            m.feed("ASI", ";", line)
+            asi(start)
         if not accepts(kind) and accepts("ASI") and (nl or kind in ("}", END)):
-            m.feed("ASI", ";", line)
+            asi(start)
             kind = pick(text, kind, end)
         m.feed(kind, text, line)
         out.tokens.append((kind, text, line, start, end))
@@ -269,7 +273,7 @@ def read(tables: Tables, src: str, lexed: Lexed | None = None):
                 if kind == "IDENT" and (accepts("LABEL") or nl) and re.compile(r"\s*:(?!:)").match(src, pos) and accepts("LABEL"):
                     kind = "LABEL"
                 elif kind == "IDENT" and not accepts("IDENT") and nl and accepts("ASI"):
-                    m.feed("ASI", ";", line)
+                    asi(start)
                     if accepts("LABEL") and re.compile(r"\s*:(?!:)").match(src, pos):
                         kind = "LABEL"
                 feed(kind, v, start, pos)
@@ -314,5 +318,5 @@ def read(tables: Tables, src: str, lexed: Lexed | None = None):
                 braces.pop()
             feed(kind, v, start, pos)
     if not accepts(END) and accepts("ASI"):
-        m.feed("ASI", ";", line)
+        asi(pos)
     return m.end(line)
