@@ -1,0 +1,252 @@
+"""Scalar functions as Column expressions: identifiers, versions, commit messages, agents, links and paths.  All stay inside code generation."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# --- identifiers ---------------------------------------------------------------------------------------------------------------------------------
+
+
+def escape_name(c: Column) -> Column:
+    """Percent-encode everything but letters, digits, underscore, dot and hyphen."""
+    return F.replace(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A"))
+
+
+def unescape_name(c: Column) -> Column:
+    return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+
+
+def short_hash(c: Column, length: int = 12) -> Column:
+    """First hex digits of the SHA-256 of a text; 64 and more give all of it."""
+    h = F.sha2(c, 256)
+    return h if length >= 64 else F.substring(h, 1, length)
+
+
+def agent_id(email: Column) -> Column:
+    return short_hash(F.lower(F.trim(email)), 12)
+
+
+def content_id(content: Column) -> Column:
+    """Hash of a text with runs of white space as one blank."""
+    return short_hash(F.trim(F.regexp_replace(content, r"\s+", " ")), 16)
+
+
+def iri_module(base: Column, module: Column) -> Column:
+    return F.concat(base, escape_name(module))
+
+
+def iri_function(base: Column, module: Column, name: Column, arity: Column) -> Column:
+    return F.concat(base, escape_name(module), F.lit("/"), escape_name(name), F.lit("/"), arity.cast("string"))
+
+
+def iri_child(parent: Column, *parts: Column) -> Column:
+    """Child of a resource, such as ``parent/clause/0``."""
+    return F.concat_ws("/", parent, *[p.cast("string") for p in parts])
+
+
+def iri_file(base: Column, path: Column) -> Column:
+    return F.concat(base, F.lit("file/"), F.array_join(F.transform(F.split(path, "/"), escape_name), "/"))
+
+
+def iri_location(file_iri: Column, first: Column, last: Column) -> Column:
+    return F.concat(file_iri, F.lit("/L"), first.cast("string"), F.lit("-"), last.cast("string"))
+
+
+def iri_repository(base: Column, url: Column) -> Column:
+    return F.concat(base, F.lit("repo/"), short_hash(url, 8))
+
+
+def iri_commit(repository: Column, sha: Column) -> Column:
+    return F.concat(repository, F.lit("/commit/"), sha)
+
+
+#: Forms of resource names, the first that matches wins.
+IRI_FORMS = [
+    ("parameter", r"^(.+)/clause/(\d+)/param/(\d+)$"),
+    ("clause", r"^(.+)/(\d+)/clause/(\d+)$"),
+    ("location", r"^(.+)/L(\d+)-(\d+)$"),
+    ("commit", r"^(.+#repo/[a-f0-9]+)/commit/([a-f0-9]+)$"),
+    ("repository", r"^(.+#)repo/([a-f0-9]+)$"),
+    ("file", r"^(.+#)file/(.+)$"),
+    ("function", r"^(.+#)([A-Za-z_][A-Za-z0-9_.%]*)/([^/]+)/(\d+)$"),
+    ("module", r"^(.+#)([A-Za-z_][A-Za-z0-9_.%]*)$"),
+]
+
+
+def iri_kind(c: Column) -> Column:
+    out = F.when(c.isNull(), None)
+    for kind, pattern in IRI_FORMS:
+        out = out.when(F.rlike(c, F.lit(pattern)), kind)
+    return out
+
+
+# --- versions ------------------------------------------------------------------------------------------------------------------------------------
+
+SEMVER = r"^v?(0|[1-9]\d*)\.(0|[1-9]\d*)\.(0|[1-9]\d*)(?:-([0-9A-Za-z.-]+))?(?:\+([0-9A-Za-z.-]+))?$"
+
+
+def semver(c: Column) -> Column:
+    """struct<major, minor, patch, pre, build>; null for a text that is no version."""
+    part = lambda i: F.regexp_extract(c, SEMVER, i)
+    text = lambda i: F.when(part(i) != "", part(i))
+    return F.when(F.rlike(c, F.lit(SEMVER)), F.struct(part(1).try_cast("int").alias("major"), part(2).try_cast("int").alias("minor"), part(3).try_cast("int").alias("patch"), text(4).alias("pre"), text(5).alias("build")))
+
+
+def semver_key(c: Column) -> Column:
+    """Sort key: numbers first, a release above its pre-releases, texts that are no versions by themselves below all."""
+    v = semver(c)
+    return F.struct(v["major"].alias("a"), v["minor"].alias("b"), v["patch"].alias("c"), v["pre"].isNull().alias("d"), F.coalesce(v["pre"], F.lit("")).alias("e"), c.alias("f"))
+
+
+def latest_stable(explicit: Column, latest: Column, releases: Column) -> Column:
+    """Explicit stable version, else the first release without a pre-release part, else the latest version, else the first release."""
+    stable = F.filter(releases, lambda r: ~F.contains(r["version"], F.lit("-")))
+    return F.coalesce(explicit, F.get(stable, 0)["version"], latest, F.get(releases, 0)["version"])
+
+
+# --- commit messages -----------------------------------------------------------------------------------------------------------------------------
+
+CONVENTIONAL = r"(?s)^(\w+(?:-\w+)*)(?:\(([^)]*)\))?(!)?\s*:\s*(.+)$"
+#: Prefixes of conventional commits and their types.
+PREFIX_TYPES = {
+    "feat": "feature", "feature": "feature", "fix": "bugfix", "bugfix": "bugfix", "hotfix": "bugfix", "refactor": "refactor", "docs": "docs", "doc": "docs", "test": "test", "tests": "test", "chore": "chore", "build": "chore", "style": "style",
+    "format": "style", "perf": "perf", "performance": "perf", "ci": "ci", "revert": "revert", "deps": "deps", "dep": "deps", "release": "release", "wip": "wip",
+}
+#: Word patterns of commit types, the first that matches wins.
+KEYWORD_TYPES = [
+    ("revert", r"(?i)^revert\b"),
+    ("docs", r"(?i)\b(doc|docs|documentation|readme|comment|comments|javadoc|typedoc|moduledoc)\b"),
+    ("test", r"(?i)\b(test|tests|testing|spec|specs|coverage)\b"),
+    ("perf", r"(?i)\b(perf|performance|optimize|optimized|optimization|speed|faster|cache|caching)\b"),
+    ("bugfix", r"(?i)\b(fix|fixed|fixing|bug|bugfix|repair|resolve|resolved|resolves|closes?|closed)\b"),
+    ("refactor", r"(?i)\b(refactor|refactored|refactoring|restructure|reorganize|cleanup|clean up|simplify)\b"),
+    ("chore", r"(?i)\b(chore|build|tooling|config|configure|setup|maintenance)\b"),
+    ("style", r"(?i)\b(style|format|formatting|lint|linting|prettier|credo)\b"),
+    ("ci", r"(?i)\b(ci|cd|pipeline|github actions|travis|circle|jenkins|workflow)\b"),
+    ("deps", r"(?i)\b(deps|dependency|dependencies|upgrade|update|bump|version)\s+(mix\.exs|package\.json|gemfile)"),
+    ("release", r"(?i)\b(release|version|v?\d+\.\d+\.\d+|bump version|prepare release)\b"),
+    ("wip", r"(?i)\b(wip|work in progress|todo|fixme|hack)\b"),
+    ("feature", r"(?i)\b(add|added|adding|implement|implemented|implementing|new|create|created|introduce|introduced)\b"),
+]
+BREAKING = r"(?i)\bbreaking\b"
+
+
+def subject(message: Column) -> Column:
+    return F.substring_index(message, "\n", 1)
+
+
+def conventional(message: Column) -> Column:
+    """struct<type, scope, breaking, description> of a message's first line; null where it is not of that form."""
+    s = subject(message)
+    part = lambda i: F.regexp_extract(s, CONVENTIONAL, i)
+    return F.when(F.rlike(s, F.lit(CONVENTIONAL)), F.struct(F.lower(part(1)).alias("type"), F.when(part(2) != "", part(2)).alias("scope"), (part(3) == "!").alias("breaking"), F.trim(part(4)).alias("description")))
+
+
+def _first(pairs, c: Column, otherwise) -> Column:
+    out = None
+    for name, pattern in pairs:
+        hit = F.rlike(c, F.lit(pattern))
+        out = F.when(hit, name) if out is None else out.when(hit, name)
+    return out.otherwise(otherwise)
+
+
+def classify_commit(message: Column) -> Column:
+    """struct<type, method, confidence>: by prefix, else by the first keyword pattern; a prefix that is not listed stays unknown."""
+    s = subject(message)
+    is_conventional = F.rlike(s, F.lit(CONVENTIONAL))
+    prefix = F.lower(F.regexp_extract(s, CONVENTIONAL, 1))
+    table = F.create_map(*[F.lit(x) for kv in PREFIX_TYPES.items() for x in kv])
+    by_word = _first(KEYWORD_TYPES, s, "unknown")
+    kind = F.when(is_conventional, F.coalesce(F.try_element_at(table, prefix), F.lit("unknown"))).otherwise(by_word)
+    method = F.when(is_conventional, "conventional_commit").otherwise("keyword")
+    confidence = F.when(is_conventional, "high").when(by_word != "unknown", "medium").otherwise("low")
+    return F.when(message.isNotNull(), F.struct(kind.alias("type"), method.alias("method"), confidence.alias("confidence")))
+
+
+#: Prefixes that the activity model knows; case matters, and only ``(`` or ``:`` may follow.
+ACTIVITY_PREFIXES = [("feature", "^(feat|feature)[(:]"), ("bugfix", "^(fix|bugfix)[(:]"), ("refactor", "^refactor[(:]"), ("docs", "^docs[(:]"), ("test", "^test[(:]"), ("chore", "^(chore|build)[(:]"), ("style", "^style[(:]"), ("perf", "^perf[(:]"), ("ci", "^ci[(:]"), ("revert", "^revert[(:]"), ("deps", "^(deps|dep)[(:]"), ("release", "^release[(:]")]
+
+
+def activity_type(message: Column, is_merge: Column | None = None) -> Column:
+    other = F.lit("commit") if is_merge is None else F.when(is_merge, "merge").otherwise("commit")
+    return _first(ACTIVITY_PREFIXES, message, other)
+
+
+def issue_numbers(text: Column) -> Column:
+    """Numbers of issues that a text closes."""
+    return F.regexp_extract_all(text, F.lit(r"(?i)\b(?:fix(?:es)?|close[sd]?|resolve[sd]?)\s+#(\d+)"), 1)
+
+
+def tracker_keys(text: Column) -> Column:
+    """Keys like ABC-12 of project trackers."""
+    return F.regexp_extract_all(text, F.lit(r"\b([A-Z][A-Z0-9]+-\d+)"), 1)
+
+
+def issue_url(tracker: Column, repo: Column, number: Column) -> Column:
+    n = number.cast("string")
+    return F.when(tracker == "github", F.concat(repo, F.lit("/issues/"), n)).when(tracker == "gitlab", F.concat(repo, F.lit("/-/issues/"), n)).when(tracker == "jira", F.concat(repo, F.lit("/browse/"), n))
+
+
+# --- agents --------------------------------------------------------------------------------------------------------------------------------------
+
+#: Patterns of automated agents.
+BOTS = r"(?i)\[bot\]@|dependabot|renovate|greenkeeper|snyk-bot|semantic-release-bot|release-bot|mergify|codecov|coveralls|bors\[bot\]|allcontributors"
+CI = r"(?i)action@github\.com|noreply@github\.com|gitlab-ci@|jenkins@|travis@|circleci@|azure-pipelines|bitbucket-pipelines"
+ASSISTANTS = r"(?i)copilot|cursor|codeium|tabnine"
+
+
+def agent_type(email: Column, name: Column) -> Column:
+    who = F.concat_ws(" ", name, email)
+    return F.when(F.rlike(who, F.lit(BOTS)), "bot").when(F.rlike(email, F.lit(CI)), "ci").when(F.rlike(who, F.lit(ASSISTANTS)), "llm").otherwise("developer")
+
+
+# --- repositories and paths ----------------------------------------------------------------------------------------------------------------------
+
+REMOTE = r"^(?:https?://|ssh://(?:[^@/]+@)?|git://|[^@/\s]+@)([^/:]+)(?::\d+)?[/:](.+?)(?:\.git)?/?$"
+
+
+def remote(url: Column) -> Column:
+    """struct<host, owner, repo> of a remote address; null for other texts."""
+    path = F.regexp_extract(url, REMOTE, 2)
+    return F.when(F.rlike(url, F.lit(REMOTE)), F.struct(F.regexp_extract(url, REMOTE, 1).alias("host"), F.regexp_extract(path, r"^(.*)/[^/]+$", 1).alias("owner"), F.regexp_extract(path, r"([^/]+)$", 1).alias("repo")))
+
+
+def platform(host: Column, custom: dict[str, str] | None = None) -> Column:
+    out = None
+    for name, kind in {**(custom or {}), "github.com": "github", "gitlab.com": "gitlab", "bitbucket.org": "bitbucket"}.items():
+        hit = (host == name) | F.endswith(host, F.lit("." + name))
+        out = F.when(hit, kind) if out is None else out.when(hit, kind)
+    return out
+
+
+def permalink(kind: Column, base: Column, commit: Column, path: Column, line: Column) -> Column:
+    n = line.cast("string")
+    return (
+        F.when(kind == "github", F.concat(base, F.lit("/blob/"), commit, F.lit("/"), path, F.lit("#L"), n))
+        .when(kind == "gitlab", F.concat(base, F.lit("/-/blob/"), commit, F.lit("/"), path, F.lit("#L"), n))
+        .when(kind == "bitbucket", F.concat(base, F.lit("/src/"), commit, F.lit("/"), path, F.lit("#lines-"), n))
+    )
+
+
+def module_of_path(path: Column) -> Column:
+    """Module that a source path suggests: lib/ and the ending dropped, parts in camel case."""
+    parts = F.split(F.regexp_replace(F.regexp_replace(path, r"^(lib|test)/", ""), r"\.exs?$", ""), "/")
+    camel = lambda x: F.replace(F.initcap(F.replace(x, F.lit("_"), F.lit(" "))), F.lit(" "), F.lit(""))
+    return F.array_join(F.transform(parts, camel), ".")
+
+
+def safe_file_name(c: Column) -> Column:
+    """Characters that file systems forbid, and doubled dots, as underscores; none at the ends."""
+    return F.regexp_replace(F.regexp_replace(c, r'[/\\:*?"<>|]|\.\.', "_"), "^_+|_+$", "")
+
+
+def owner_pattern(glob: Column, compat: bool = True) -> Column:
+    """Regular expression of an ownership glob; compat keeps the rewriting of the second star of ``**``."""
+    escaped = F.regexp_replace(glob, r"([.+^${}()|\[\]\\])", r"\\$1")
+    if compat:
+        body = F.regexp_replace(F.replace(escaped, F.lit("**"), F.lit(".*")), r"\*", "[^/]*")
+    else:
+        body = F.replace(F.regexp_replace(F.replace(escaped, F.lit("**"), F.lit("\u0001")), r"\*", "[^/]*"), F.lit("\u0001"), F.lit(".*"))
+    anchored = F.when(F.startswith(glob, F.lit("/")), F.concat(F.lit("^"), F.substr(body, F.lit(2)))).otherwise(F.concat(F.lit("(^|/)"), body))
+    return F.concat(F.regexp_replace(anchored, "/$", ""), F.lit("($|/)"))
