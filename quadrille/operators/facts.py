@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import terms as T
-from ..session import spread
+from ..session import spread, stored
 from ..syntax import elixir, normal, tables
 from ..syntax.lalr import Machine, SyntaxFault
 
@@ -178,6 +178,9 @@ def _parse_rows(files: DataFrame, errors: bool) -> DataFrame:
                 except SyntaxFault as e:
                     if errors:
                         out.append((int(fid), path, e.message, e.line))
+                except RecursionError:
+                    if errors:
+                        out.append((int(fid), path, "nested too deeply", None))
             cols = ["file_id", "path", "message", "line"] if errors else [c.split()[0] for c in NODE.split(", ")]
             yield pd.DataFrame(out, columns=cols).astype({c: "Int32" for c in cols if c in ("pre", "post", "parent", "depth", "nth", "arity", "defaults", "line", "fun_arity")})
 
@@ -333,6 +336,68 @@ def snapshot_statistics(files: DataFrame, n: DataFrame) -> DataFrame:
     return counts.crossJoin(lines)  # one row each
 
 
+def supervisors(n: DataFrame) -> DataFrame:
+    """Supervisors with strategy and restart limits; without options the strategy is one_for_one, with 3 restarts in 5 seconds."""
+    c = n.filter((F.col("kind") == "remote_call") & F.col("name").isin("Supervisor.init", "Supervisor.start_link", "DynamicSupervisor.init", "DynamicSupervisor.start_link"))
+    number = lambda k, d: F.coalesce(F.regexp_extract("text", rf"{k}:\s*(\d+)", 1).try_cast("int"), F.lit(d))
+    strategy = F.regexp_extract("text", r"strategy:\s*:(\w+)", 1)
+    out = c.groupBy("file_id", "module").agg(F.min_by(F.struct(F.regexp_extract("name", r"^(\w+)\.", 1).alias("behaviour"), F.when(strategy == "", "one_for_one").otherwise(strategy).alias("strategy"), number("max_restarts", 3).alias("max_restarts"), number("max_seconds", 5).alias("max_seconds"), "line"), "pre").alias("s"))
+    out = out.select("file_id", "module", "s.*")
+    return out.withColumn("intensity", F.try_divide(F.col("max_restarts"), F.col("max_seconds"))).withColumn("high", F.col("intensity") > 1.0)
+
+
+def child_specs(n: DataFrame) -> DataFrame:
+    """Modules in the child list of a supervisor's init or start_link, by place; a name that ends in Supervisor is one, all others are workers."""
+    sup = n.filter((F.col("kind") == "operator") & (F.col("name") == "=") & (F.col("fun") == "init") | (F.col("kind") == "remote_call") & F.col("name").isin("Supervisor.init", "Supervisor.start_link")).select("file_id", "module", "fun", F.col("pre").alias("a"), F.col("post").alias("b"))
+    lists = n.filter("kind = 'list'").select("file_id", F.col("pre").alias("lp"), F.col("post").alias("lq")).join(sup, "file_id").filter("lp > a and lq < b").select("file_id", "module", "lp", "lq").distinct()
+    m = n.filter("kind = 'alias'").select("file_id", "name", "pre", "post", "parent", "depth", "line").join(lists, "file_id").filter("pre > lp and post < lq")
+    first = Window.partitionBy("file_id", "module", "lp").orderBy("pre")
+    top = m.groupBy("file_id", "module", "lp", "parent").agg(F.min(F.struct("pre", "name", "line")).alias("c")).select("file_id", "module", "lp", "c.*")
+    direct = m.join(lists.select("file_id", F.col("lp").alias("parent")).distinct(), ["file_id", "parent"], "left_semi").select("file_id", "module", "lp", "pre", "name", "line")
+    every = top.unionByName(direct).distinct()
+    return every.select("file_id", "module", F.col("name").alias("child"), (F.row_number().over(first) - 1).alias("position"), F.when(F.endswith("name", F.lit("Supervisor")), "supervisor").otherwise("worker").alias("type"), "line")
+
+
+def ets_tables(n: DataFrame) -> DataFrame:
+    """Tables made by :ets.new with type and access by the order of precedence of their options."""
+    t = n.filter((F.col("kind") == "remote_call") & (F.col("name") == ":ets.new"))
+    has = lambda o: F.rlike("text", F.lit(rf":{o}\b"))
+    kind = F.when(has("ordered_set"), "ordered_set").when(has("duplicate_bag"), "duplicate_bag").when(has("bag"), "bag").otherwise("set")
+    access = F.when(has("public"), "public").when(has("private"), "private").otherwise("protected")
+    flag = lambda o: F.rlike("text", F.lit(rf"{o}[:,]\s*(true|:auto)"))
+    return t.select("file_id", "module", "fun", F.regexp_extract("text", r":ets\.new\(:?(\w+)", 1).alias("table"), kind.alias("type"), access.alias("access"), has("named_table").alias("named"), flag("read_concurrency").alias("read_concurrency"), flag("write_concurrency").alias("write_concurrency"), "line")
+
+
+def macro_invocations(n: DataFrame) -> DataFrame:
+    """Calls of known macros by library."""
+    table = {"Logger": "debug info notice warning error critical alert emergency", "Ecto.Schema": "schema field belongs_to has_many has_one many_to_many embeds_one embeds_many timestamps", "ExUnit": "test describe assert refute setup setup_all assert_raise", "Kernel": "if unless def defp defmacro defmodule defstruct raise use require import alias"}
+    by = F.create_map(*[F.lit(x) for lib, ws in table.items() for w in ws.split() for x in ((f"Logger.{w}" if lib == "Logger" else w), lib)])
+    lib = F.try_element_at(by, F.col("name"))
+    w = Window.partitionBy("file_id", "module", "name").orderBy("pre")
+    return n.filter(F.col("kind").isin("call", "remote_call")).withColumn("library", lib).filter("library is not null").select("file_id", "module", "fun", F.col("name").alias("macro"), "library", "arity", "line", (F.row_number().over(w) - 1).alias("position"))
+
+
+#: Tests on one node by name, as the walker's predicates.
+MATCHERS: dict[str, Column] = {}
+
+
+def _matchers() -> None:
+    kind, name = F.col("kind"), F.col("name")
+    call = lambda *ns: (kind == "call") & name.isin(*ns)
+    MATCHERS.update(
+        module=call("defmodule"), protocol=call("defprotocol"), implementation=call("defimpl"), function=call("def", "defp"), public_function=call("def"), private_function=call("defp"), macro=call("defmacro", "defmacrop"), guard=call("defguard", "defguardp"), delegate=call("defdelegate"), struct_definition=call("defstruct"),
+        exception_definition=call("defexception"), directive=call("alias", "import", "require", "use"), control_flow=call(*CONTROL), quote=call("quote"), unquote=call("unquote", "unquote_splicing"), attribute=kind == "attribute", documentation=(kind == "attribute") & name.isin("doc", "moduledoc", "typedoc"), type_definition=(kind == "attribute") & name.isin("type", "typep", "opaque"),
+        spec=(kind == "attribute") & (name == "spec"), callback=(kind == "attribute") & name.isin("callback", "macrocallback"), behaviour=(kind == "attribute") & (name == "behaviour"), anonymous_function=kind == "fn", capture=kind == "capture", pipe=(kind == "operator") & (name == "|>"), operator=kind == "operator", variable=kind == "var", literal=kind.isin("integer", "float", "string", "charlist", "atom", "sigil"), remote_call=kind == "remote_call",
+    )
+
+
+def find(n: DataFrame, matcher: str) -> DataFrame:
+    """Nodes that a named test accepts, in pre-order within files."""
+    if not MATCHERS:
+        _matchers()
+    return n.filter(MATCHERS[matcher])
+
+
 # --- statements ----------------------------------------------------------------------------------------------------------------------------------
 
 
@@ -346,7 +411,11 @@ def _text_of(c: str, dt: str = "string") -> Column:
 
 
 def build(n: DataFrame, base: str = T.DATA) -> DataFrame:
-    """Statements (g, s, p, o) about modules, functions, clauses, calls, control flow, directives, types and processes; duplicates removed."""
+    """Statements (g, s, p, o) about modules, functions, clauses, calls, control flow, directives, types and processes; duplicates removed.
+
+    The nodes are written once, so that ten projections do not parse ten times.
+    """
+    n = stored(n, "nodes")
     b, C = F.lit(base), lambda x: T.constant(("iri", x))
     mod = lambda c: S.iri_module(b, F.col(c))
     fun = lambda m, f, a: S.iri_function(b, F.col(m), F.col(f), F.col(a))
@@ -370,4 +439,26 @@ def build(n: DataFrame, base: str = T.DATA) -> DataFrame:
     parts.append(_statements(v, S.iri_child(mod("module"), F.col("construct"), F.col("position")), [(T.RDF_TYPE, T.iri(F.concat(F.lit(T.CORE), F.initcap("construct"), F.lit("Expression")))), (T.CORE + "inFunction", T.iri(fun("module", "fun", "fun_arity")))]))
     p = process_callbacks(n)
     parts.append(_statements(p, fun("module", "name", "arity"), [(T.RDF_TYPE, T.iri(F.concat(F.lit(T.OTP), F.replace(F.initcap(F.replace("name", F.lit("_"), F.lit(" "))), F.lit(" "), F.lit("")), F.lit("Callback"))))]))
+    named = lambda kind: S.iri_child(mod("module"), F.lit(kind), F.col("line"))
+    a = attributes(n)
+    parts.append(_statements(a, S.iri_child(mod("module"), F.lit("attribute"), F.col("name"), F.col("line")), [(T.RDF_TYPE, T.iri(F.concat(F.lit(T.STRUCT), F.replace(F.initcap(F.replace("attribute_kind", F.lit("_"), F.lit(" "))), F.lit(" "), F.lit("")), F.lit("Attribute")))), (T.STRUCT + "attributeName", _text_of("name")), (T.STRUCT + "attributeOf", T.iri(mod("module")))]))
+    x = exceptions(n)
+    parts.append(_statements(x, named("exception"), [(T.RDF_TYPE, T.iri(F.concat(F.lit(T.CORE), F.initcap("construct"), F.lit("Expression")))), (T.CORE + "inFunction", T.iri(fun("module", "fun", "fun_arity")))]))
+    st = structs(n)
+    parts.append(_statements(st, S.iri_child(mod("module"), F.lit("struct")), [(T.RDF_TYPE, F.when(F.col("definer") == "defexception", C(T.STRUCT + "Exception")).otherwise(C(T.STRUCT + "Struct"))), (T.STRUCT + "structOf", T.iri(mod("module")))]))
+    fields = st.select("module", F.posexplode("fields").alias("i", "field"))
+    parts.append(_statements(fields, S.iri_child(mod("module"), F.lit("struct"), F.lit("field"), F.col("field")), [(T.RDF_TYPE, C(T.STRUCT + "StructField")), (T.STRUCT + "fieldName", _text_of("field"))]))
+    pr = protocols(n)
+    parts.append(_statements(pr, mod("protocol"), [(T.RDF_TYPE, F.when(F.col("implementation"), C(T.STRUCT + "ProtocolImplementation")).otherwise(C(T.STRUCT + "Protocol"))), (T.STRUCT + "forDataType", F.when(F.col("for_type") != "", T.iri(mod("for_type"))))]))
+    bh = behaviours(n)
+    parts.append(_statements(bh, mod("module"), [(T.STRUCT + "implementsBehaviour", T.iri(mod("behaviour"))), (T.RDF_TYPE, F.when(F.col("behaviour").isin("GenServer", "Supervisor", "DynamicSupervisor", "Agent", "Task"), T.iri(F.concat(F.lit(T.OTP), "behaviour", F.lit("Implementation")))))]))
+    an = anonymous_functions(n)
+    parts.append(_statements(an, S.iri_child(mod("module"), F.when(F.col("kind") == "fn", "anon").otherwise("&"), F.col("position")), [(T.RDF_TYPE, F.when(F.col("kind") == "fn", C(T.STRUCT + "AnonymousFunction")).otherwise(C(T.STRUCT + "CapturedFunction")))]))
+    su = supervisors(n)
+    parts.append(_statements(su, mod("module"), [(T.RDF_TYPE, T.iri(F.concat(F.lit(T.OTP), "behaviour"))), (T.OTP + "hasStrategy", T.iri(F.concat(F.lit(T.OTP), F.replace(F.initcap(F.replace("strategy", F.lit("_"), F.lit(" "))), F.lit(" "), F.lit(""))))), (T.OTP + "maxRestarts", _text_of("max_restarts", "nonNegativeInteger")), (T.OTP + "maxSeconds", _text_of("max_seconds", "positiveInteger"))]))
+    ch = child_specs(n)
+    parts.append(_statements(ch, mod("module"), [(T.OTP + "supervises", T.iri(mod("child")))]))
+    parts.append(_statements(ch, mod("child"), [(T.OTP + "supervisedBy", T.iri(mod("module")))]))
+    et = ets_tables(n)
+    parts.append(_statements(et, S.iri_child(mod("module"), F.lit("ets"), F.col("table")), [(T.RDF_TYPE, C(T.OTP + "ETSTable")), (T.OTP + "hasTableType", _text_of("type")), (T.OTP + "hasAccessType", _text_of("access"))]))
     return reduce(lambda x, y: x.unionByName(y), parts).distinct()

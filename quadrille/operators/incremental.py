@@ -76,7 +76,7 @@ def snapshot_changes(listing: DataFrame, links: DataFrame, key: str, version: li
 
 def completed_links(log: DataFrame) -> DataFrame:
     """(listing, target_new, target_old) of runs with a ``completed`` row; runs without an earlier completed run get no target of their own."""
-    done = log.filter(F.col("status") == "completed").groupBy("run_id").agg(F.max(F.struct("checkout_id", "state_ts", "snapshot_id")).alias("r")).select("run_id", "r.checkout_id", "r.state_ts", "r.snapshot_id")
+    done = log.filter(F.col("status") == "completed").groupBy("run_id").agg(*[F.max(c).alias(c) for c in ("checkout_id", "state_ts", "snapshot_id")])
     pairs = previous(done.withColumn("_item", F.struct("run_id", "snapshot_id")), "checkout_id", "state_ts", "_item")
     pairs = pairs.filter(F.col("prev_item").isNotNull()).select("run_id", "snapshot_id", F.col("prev_item.snapshot_id").alias("prev_snapshot"))
     both = pairs.select(F.col("snapshot_id").alias("listing"), F.col("run_id").alias("target_new"), F.lit(None).cast("bigint").alias("target_old")).unionByName(
@@ -94,7 +94,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def complete_links(log: DataFrame, listing: DataFrame) -> DataFrame:
     """(listing, target_new, target_old) over the listings that hold as many distinct paths as their run says."""
-    runs = log.groupBy("snapshot_id").agg(F.max(F.struct("checkout_id", "state_ts", "file_count")).alias("r")).select("snapshot_id", "r.checkout_id", "r.state_ts", "r.file_count")
+    runs = log.groupBy("snapshot_id").agg(*[F.max(c).alias(c) for c in ("checkout_id", "state_ts", "file_count")])
     held = listing.select("listing", "path").distinct().groupBy("listing").agg(F.count("*").alias("n"))
     whole = runs.join(held, runs["snapshot_id"] == held["listing"], "left").filter(F.coalesce("n", F.lit(0)) == F.col("file_count")).select("snapshot_id", "checkout_id", "state_ts")
     pairs = previous(whole, "checkout_id", "state_ts", "snapshot_id").filter(F.col("prev_item").isNotNull())

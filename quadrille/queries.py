@@ -405,7 +405,7 @@ def _fact(name: str, f) -> None:
         return f(_nodes(spark, folder))
 
 
-for _n, _f in (("code_modules", facts.modules), ("code_functions", facts.functions), ("code_clauses", facts.clauses), ("code_parameters", facts.parameters), ("code_calls", facts.calls), ("code_directives", facts.directives), ("code_attributes", facts.attributes), ("code_types", facts.types), ("code_specs", facts.specs), ("code_control_flow", facts.control_flow), ("code_exceptions", facts.exceptions), ("code_structs", facts.structs), ("code_protocols", facts.protocols), ("code_behaviours", facts.behaviours), ("code_callbacks", facts.process_callbacks), ("code_anonymous", facts.anonymous_functions), ("free_variables", facts.free_variables), ("code_quotes", facts.quotes)):
+for _n, _f in (("code_modules", facts.modules), ("code_functions", facts.functions), ("code_clauses", facts.clauses), ("code_parameters", facts.parameters), ("code_calls", facts.calls), ("code_directives", facts.directives), ("code_attributes", facts.attributes), ("code_types", facts.types), ("code_specs", facts.specs), ("code_control_flow", facts.control_flow), ("code_exceptions", facts.exceptions), ("code_structs", facts.structs), ("code_protocols", facts.protocols), ("code_behaviours", facts.behaviours), ("code_callbacks", facts.process_callbacks), ("code_anonymous", facts.anonymous_functions), ("free_variables", facts.free_variables), ("code_quotes", facts.quotes), ("code_supervisors", facts.supervisors), ("code_children", facts.child_specs), ("code_tables", facts.ets_tables), ("code_macros", facts.macro_invocations)):
     _fact(_n, _f)
 
 

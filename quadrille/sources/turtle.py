@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import terms as T
+from .rdf_json_xml import FormatError, from_json_ld, from_rdf_xml
 
 _TOKEN = re.compile(
     r"""(?P<ws>\s+|\#[^\n]*)|(?P<prefix>@prefix\b|@base\b|(?i:PREFIX|BASE)(?=\s))|(?P<iri><[^<>"{}|^`\\\x00-\x20]*>)|(?P<str>\"\"\"(?:[^"\\]|\\.|"(?!""))*\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*'''|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<lang>@[A-Za-z]+(?:-[A-Za-z0-9]+)*)|(?P<dt>\^\^)"""
@@ -157,6 +158,16 @@ def parse(text: str, doc: str = "") -> list[tuple]:
     return out
 
 
+def parse_any(path: str, text: str) -> list[tuple]:
+    """Statements of a document in the form that its ending names; Turtle, which covers N-Triples, without a known ending."""
+    end = path.lower().rpartition(".")[2]
+    if end in ("jsonld", "json"):
+        return from_json_ld(text, f"{path}#")
+    if end in ("rdf", "owl", "xml"):
+        return from_rdf_xml(text, f"{path}#")
+    return parse(text, f"{path}#")
+
+
 def to_rows(statements: list[tuple], graph: str = "") -> list[tuple]:
     return [(graph, T.python_term(s), p[1], T.python_term(o)) for s, p, o in statements]
 
@@ -176,16 +187,18 @@ def read_documents(docs: DataFrame, name: str = "path", text: str = "content") -
             rows = []
             for n, t in zip(b["name"], b["text"]):
                 try:
-                    rows.append((n, None, None, [{"s": dict(zip(("kind", "value", "dt", "lang"), T.python_term(s))), "p": p[1], "o": dict(zip(("kind", "value", "dt", "lang"), T.python_term(o)))} for s, p, o in parse(t or "", f"{n}#")]))
+                    rows.append((n, None, None, [{"s": dict(zip(("kind", "value", "dt", "lang"), T.python_term(s))), "p": p[1], "o": dict(zip(("kind", "value", "dt", "lang"), T.python_term(o)))} for s, p, o in parse_any(str(n), t or "")]))
                 except TurtleError as e:
                     rows.append((n, e.message, e.line, []))
+                except FormatError as e:
+                    rows.append((n, str(e), None, []))
             yield pd.DataFrame(rows, columns=["name", "error", "line", "statements"]).astype({"line": "Int32"})
 
     return docs.select(F.col(name).alias("name"), F.col(text).alias("text")).mapInPandas(run, f"name string, error string, line int, statements array<struct<s: {T.TERM}, p: string, o: {T.TERM}>>")
 
 
 def load_files(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:
-    """Statements of Turtle and N-Triples files, and one row per file (path, error, statements).  Globs that match nothing give empty tables."""
+    """Statements of files in Turtle, N-Triples, JSON-LD or RDF/XML by their endings, and one row per file (path, error, statements).  Globs that match nothing give empty tables."""
     docs = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(list(paths)).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     parsed = read_documents(docs)
     quads = parsed.select(F.col("name").alias("g"), F.explode("statements").alias("t")).select("g", "t.s", "t.p", "t.o")

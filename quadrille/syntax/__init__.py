@@ -74,6 +74,8 @@ def parse_source(lang: str, text: str) -> Parsed:
             p.tree = lalr.parse(t, p.tokens)
     except SyntaxFault as e:
         p.fault = e
+    except RecursionError:
+        p.fault = SyntaxFault("nested too deeply", 0)
     return p
 
 
@@ -96,7 +98,7 @@ class Function:
 
 def functions(p: Parsed, text: str) -> list[Function]:
     """Functions of a valid file, one per clause, with their documentation by the convention of the language."""
-    if p.fault is not None:
+    if p.fault is not None or p.lang == "json":
         return []
     return {"elixir": _elixir, "erlang": _erlang, "javascript": _javascript, "python": _python}[p.lang](p, text)
 

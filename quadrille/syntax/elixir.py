@@ -84,11 +84,11 @@ _CLASS = {
 _BLOCK = frozenset(["else", "rescue", "catch", "after"])
 _OPS = r"===|!==|<<<|>>>|\|\|\||&&&|\^\^\^|~~~|<<~|~>>|<~>|<\|>|\+\+\+|---|\.\.\.|==|!=|=~|<=|>=|&&|\|\||<>|\+\+|--|\*\*|\|>|<~|~>|<-|\\\\|//|::|->|=>|<<|>>|\.\.|[-+*/<>=!&|^@.%(){}\[\],;]"
 _KW_OPS = _OPS.replace("::|", "").replace("->|", "").replace("<<|>>|", "").partition(r"|[-+")[0] + r"|[-+*/<>=!&|^@.]"
-_NAME = r"[a-z_\u00aa-\u00ff\u0100-\uffff][\w]*[?!]?"
+_NAME = r"(?![A-Z])[^\W\d]\w*[?!]?"
 _TOK = re.compile(
     rf"""(?P<ws>(?:[ \t\r\f]|\\\r?\n)+)|(?P<nl>\n)|(?P<com>\#[^\n]*)|(?P<num>0x[0-9a-fA-F_]+|0b[01_]+|0o[0-7_]+|\d+(?:_\d+)*(?:\.\d+(?:_\d+)*(?:[eE][+-]?\d+)?)?)|(?P<char>\?(?:\\(?:x[0-9a-fA-F]{{1,2}}|u\{{[0-9a-fA-F]+\}}|u[0-9a-fA-F]{{4}}|.)|[^\\\s]))"""
-    rf"""|(?P<heredoc>\"\"\"[ \t]*\r?\n|'''[ \t]*\r?\n)|(?P<sigil>~(?:[a-z]|[A-Z][A-Z0-9]*)(?=\"\"\"|'''|[/|"'(\[{{<]))|(?P<quote>["'])|(?P<qatom>:["'])|(?P<kw>(?:[A-Za-z_\u00c0-\uffff][\w@]*[?!]?):(?![:\w"'\[{{(<>=+*/&|^~.%-])|(?:{_KW_OPS}):(?=\s))"""
-    rf"""|(?P<atom>:(?:[A-Za-z_\u00c0-\uffff][\w@]*[?!]?|<<>>|%{{}}|{{}}|\.\.//|{_OPS}))|(?P<alias>[A-Z]\w*)|(?P<id>{_NAME})|(?P<cap>&\d+)|(?P<op>{_OPS})""",
+    rf"""|(?P<heredoc>\"\"\"[ \t]*\r?\n|'''[ \t]*\r?\n)|(?P<sigil>~(?:[a-z]|[A-Z][A-Z0-9]*)(?=\"\"\"|'''|[/|"'(\[{{<]))|(?P<quote>["'])|(?P<qatom>:["'])|(?P<kw>(?:[^\W\d][\w@]*[?!]?):(?![:\w"'\[{{(<>=+*/&|^~.%-])|(?:{_KW_OPS}):(?=\s))"""
+    rf"""|(?P<atom>:(?:[^\W\d][\w@]*[?!]?|<<>>|%{{}}|{{}}|\.\.//|{_OPS}))|(?P<alias>[A-Z]\w*)|(?P<id>{_NAME})|(?P<cap>&\d+)|(?P<op>{_OPS})""",
     re.X | re.S,
 )
 _CLOSE = {"(": ")", "[": "]", "{": "}", "<": ">"}
