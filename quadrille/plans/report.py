@@ -12,16 +12,17 @@ def to_statements(report: DataFrame, name: str = T.DATA + "report") -> DataFrame
     """(g, s, p, o): a report node with its verdict, and a node per result named by the hash of its content."""
     lit = lambda c: T.literal(F.col(c))
     node = T.bnode(F.concat(F.lit("r"), F.substring(F.sha2(F.to_json(F.struct(*[F.col(c) for c in report.columns])), 256), 1, 24)))
-    rows = F.array(
-        F.struct(F.lit(T.RDF_TYPE).alias("p"), T.constant(("iri", T.SH + "ValidationResult")).alias("o")), F.struct(F.lit(T.SH + "focusNode"), F.col("focus")), F.struct(F.lit(T.SH + "resultPath"), T.iri(F.col("path"))), F.struct(F.lit(T.SH + "value"), F.col("value")),
-        F.struct(F.lit(T.SH + "sourceShape"), T.iri(F.col("shape"))), F.struct(F.lit(T.SH + "sourceConstraintComponent"), T.iri(F.concat(F.lit(T.SH), F.initcap(F.substring("component", 1, 1)), F.substr("component", F.lit(2)), F.lit("ConstraintComponent")))), F.struct(F.lit(T.SH + "resultMessage"), lit("message")),
-        F.struct(F.lit(T.SH + "resultSeverity"), T.iri(F.concat(F.lit(T.SH), F.initcap("severity")))),
-    )
+    component = F.concat(F.lit(T.SH), F.upper(F.substring("component", 1, 1)), F.substr("component", F.lit(2)), F.lit("ConstraintComponent"))
+    pairs = [
+        (T.RDF_TYPE, T.constant(("iri", T.SH + "ValidationResult"))), (T.SH + "focusNode", F.col("focus")), (T.SH + "resultPath", T.iri(F.col("path"))), (T.SH + "value", F.col("value")), (T.SH + "sourceShape", T.iri(F.col("shape"))),
+        (T.SH + "sourceConstraintComponent", T.iri(component)), (T.SH + "resultMessage", lit("message")), (T.SH + "resultSeverity", T.iri(F.concat(F.lit(T.SH), F.initcap("severity")))),
+    ]
+    rows = F.array(*[F.struct(F.lit(p).alias("p"), o.alias("o")) for p, o in pairs])
     results = report.select(node.alias("s"), F.explode(rows).alias("t")).select(F.lit("").alias("g"), "s", "t.p", "t.o").filter(F.col("o").isNotNull())
     root = T.constant(("iri", name))
     links = report.select(F.lit("").alias("g"), root.alias("s"), F.lit(T.SH + "result").alias("p"), node.alias("o"))
     verdict = report.agg((F.count_if(F.col("severity") == "violation") == 0).alias("c")).select(F.lit("").alias("g"), root.alias("s"), F.lit(T.SH + "conforms").alias("p"), T.literal(F.col("c").cast("string"), T.XSD + "boolean").alias("o"))
-    return results.unionByName(links).unionByName(verdict).distinct()
+    return results.union(links).union(verdict).distinct()
 
 
 def from_statements(quads: DataFrame) -> DataFrame:

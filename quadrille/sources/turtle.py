@@ -199,7 +199,7 @@ def read_documents(docs: DataFrame, name: str = "path", text: str = "content") -
 
 def load_files(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:
     """Statements of files in Turtle, N-Triples, JSON-LD or RDF/XML by their endings, and one row per file (path, error, statements).  Globs that match nothing give empty tables."""
-    docs = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(list(paths)).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    docs = spark.read.option("recursiveFileLookup", True).text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     parsed = read_documents(docs)
     quads = parsed.select(F.col("name").alias("g"), F.explode("statements").alias("t")).select("g", "t.s", "t.p", "t.o")
     return quads, parsed.select(F.col("name").alias("path"), "error", F.size("statements").alias("statements"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -221,7 +222,6 @@ def _erlang(p: Parsed, text: str) -> list[Function]:
     own_line = [c for c in comments if not text[text.rfind("\n", 0, c[0]) + 1:c[0]].strip()]
     ci = 0
     pending: list[str] = []
-    last_line = 0
     for form in p.tree:
         if type(form) is not tuple and type(form) is not list:
             continue
@@ -232,12 +232,10 @@ def _erlang(p: Parsed, text: str) -> list[Function]:
         at, line = tokens[start][3], tokens[start][2]
         block: list[tuple] = []
         while ci < len(own_line) and own_line[ci][0] < at:
-            if own_line[ci][0] > last_line:
-                block.append(own_line[ci])
+            block.append(own_line[ci])
             ci += 1
-        # only comments after the previous form count; a gap of blank lines does not detach edoc
-        if block:
-            pending = pending + [c[1] for c in block] if pending and clauses is None else [c[1] for c in block] if not pending else pending + [c[1] for c in block]
+        # comments since the last form that is no attribute of a function; a gap of blank lines does not detach them
+        pending = pending + [c[1] for c in block]
         if clauses:
             doc, hidden = edoc(pending)
             name = clauses[0][1][0]
@@ -245,9 +243,7 @@ def _erlang(p: Parsed, text: str) -> list[Function]:
             out.append(Function(name.strip("'"), len(args), doc, hidden, line))
             pending = []
         elif form[0] not in ("spec", "typedef"):
-            if form[0] == "attr" and len(form[1]) > 1 and form[1][1] in ("deprecated", "dialyzer", "compile"):
-                pass
-            else:
+            if not (form[0] == "attr" and len(form[1]) > 1 and form[1][1] in ("deprecated", "dialyzer", "compile")):
                 pending = []
     return out
 
@@ -300,15 +296,13 @@ def _javascript(p: Parsed, text: str) -> list[Function]:
     docs: dict[int, str] = {}  # start of the next token -> comment
     ends = [(c[0] + len(c[1]), c[1]) for c in p.comments]
     starts = [t[3] for t in tokens]
-    import bisect
-
     for end, c in ends:
         i = bisect.bisect_left(starts, end)
+        while i < len(starts) and tokens[i][0] == "ASI":
+            i += 1
         if i < len(starts):
             if c.startswith("/**") and len(c) > 4:
                 docs[i] = c
-            elif c.startswith("/*") and i in docs and c.startswith("/**"):
-                docs[i] = c
 
     def count(params) -> int:
         for k in params[1]:

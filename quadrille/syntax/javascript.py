@@ -121,18 +121,25 @@ class Lexed:
         self.tokens, self.comments, self.strings = [], [], []
 
 
-def _arrow_after(src: str, pos: int) -> bool:
-    """Whether the bracket that opens at pos closes before ``=>``."""
-    depth = 0
-    for m in re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|[()\[\]{}]", re.S).finditer(src, pos):
+_BRACKET = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|[()\[\]{}]", re.S)
+_ARROW = re.compile(r"\s*(?:/\*.*?\*/\s*)*=>", re.S)
+
+
+def _arrow_after(src: str, pos: int, known: dict[int, bool]) -> bool:
+    """Whether the bracket that opens at pos closes before ``=>``; brackets within are answered by the same scan."""
+    if pos in known:
+        return known[pos]
+    open_at: list[int] = []
+    for m in _BRACKET.finditer(src, pos):
         t = m.group()
         if t in "([{" and len(t) == 1:
-            depth += 1
+            open_at.append(m.start())
         elif t in ")]}" and len(t) == 1:
-            depth -= 1
-            if not depth:
-                return bool(re.compile(r"\s*(?:/\*.*?\*/\s*)*=>", re.S).match(src, m.end()))
-    return False
+            known[open_at.pop()] = bool(_ARROW.match(src, m.end()))
+            if not open_at:
+                break
+    known.update(dict.fromkeys(open_at, False))
+    return known.get(pos, False)
 
 
 def read(tables: Tables, src: str, lexed: Lexed | None = None):
@@ -143,6 +150,7 @@ def read(tables: Tables, src: str, lexed: Lexed | None = None):
     if src.startswith("#!"):
         pos = src.find("\n") if "\n" in src else n
     braces: list[bool] = []  # True: a template's ${
+    arrows: dict[int, bool] = {}
     nl = False
     prev = None
     match = _TOK.match
@@ -175,7 +183,7 @@ def read(tables: Tables, src: str, lexed: Lexed | None = None):
         if text == "{":
             return first("block{", "body{", "obj{")
         if text == "(":
-            if _arrow_after(src, end - 1) and accepts("cover("):
+            if _arrow_after(src, end - 1, arrows) and accepts("cover("):
                 return "cover("
             return first("args(", "(")
         if text == "[":
@@ -264,7 +272,7 @@ def read(tables: Tables, src: str, lexed: Lexed | None = None):
                     kind = v
                 elif v == "async":
                     a = re.compile(r"[ \t]+(?:function\b|[\w$]+\s*=>|(?=\())|(?=\()").match(src, pos)
-                    if a and (src[a.end() - 1:a.end()] != "(" and "function" in a.group() or "=>" in a.group() or src[a.end():a.end() + 1] == "(" and _arrow_after(src, a.end())):
+                    if a and (src[a.end() - 1:a.end()] != "(" and "function" in a.group() or "=>" in a.group() or src[a.end():a.end() + 1] == "(" and _arrow_after(src, a.end(), arrows)):
                         kind = pick("async", "async_x", pos) if "function" in a.group() else "async_x"
                     elif accepts("async") and re.compile(r"[ \t]+[\w$\"'\[#*]|\s*\*").match(src, pos) and not accepts("async_x"):
                         kind = "async"

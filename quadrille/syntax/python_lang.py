@@ -253,7 +253,7 @@ def _soft(out: list[tuple], first: int) -> None:
     if first >= len(out) or out[first][0] != "NAME" or len(out) - first < 3:
         return
     v, nxt = out[first][1], out[first + 1][0]
-    if v in ("match", "case") and out[-2][0] == ":" and nxt not in ("=", ".", ",", ")", ":", "AUG", ":=", "CMP", "in", "is", "and", "or", "NEWLINE") or v == "case" and nxt == "NAME" and ":" in [t[0] for t in out[first:]]:
+    if v in ("match", "case") and out[-2][0] == ":" and nxt not in ("=", ".", ",", ")", ":", "AUG", ":=", "CMP", "in", "is", "and", "or", "NEWLINE") or v == "case" and nxt in ("NAME", "[", "(", "{", "STR", "NUM", "-", "*", "None", "True", "False") and ":" in [t[0] for t in out[first:]] and any(t[0] == "MATCH" for t in out[:first]):
         out[first] = (v.upper(), *out[first][1:])
     elif v == "type" and nxt == "NAME" and out[first + 2][0] in ("=", "["):
         out[first] = ("TYPE", *out[first][1:])

@@ -34,7 +34,7 @@ def test_empty_tables(spark, tmp_path):
 
 
 def test_previous_equals_a_plain_lag(spark):
-    data = [(s, t, s * 1000 + t) for s in (1, 2, None) for t in list(range(0, 40, 3)) + [10**9, 10**9 + 5]]
+    data = [(s, t, (s or 0) * 1000 + t) for s in (1, 2, None) for t in list(range(0, 40, 3)) + [10**9, 10**9 + 5]]
     df = spark.createDataFrame(data, "src bigint, ts bigint, item bigint")
     got = {(r.src, r.item): r.prev_item for r in I.previous(df, "src", "ts", "item", slice_width=7).collect()}
     for s in (1, 2, None):
