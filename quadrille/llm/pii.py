@@ -11,6 +11,7 @@ Null and empty texts give no rows.  A mention that occurs several times in a doc
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -23,8 +24,8 @@ from ..session import checkpoint_dir, spread, table
 
 _AT = r"(?:\s?[\(\[\{<]\s?(?:at|@)\s?[\)\]\}>]\s?|\s(?:at|AT)\s)"
 _DOT = r"(?:\s?[\(\[\{]\s?(?:dot|\.)\s?[\)\]\}]\s?|\s(?:dot|DOT)\s|\.)"
-_LOCAL = r"[^\W_](?:[\w.+'-]*\w)?"
-EMAIL = re.compile(rf"(?<![\w.+@/-])(?:(?P<plain>{_LOCAL}@(?:[^\W_][\w-]*\.)+[^\W\d_]{{2,}})|(?P<odd>{_LOCAL}{_AT}(?:[^\W_][\w-]*{_DOT})+[^\W\d_]{{2,}}))(?![\w@])", re.I)
+_LOCAL = r"[^\W_](?:[\w.+'-]{0,62}\w)?"
+EMAIL = re.compile(rf"(?<![\w.+@/-])(?:(?P<plain>{_LOCAL}@(?:[^\W_][\w-]{{0,62}}\.){{1,8}}[^\W\d_]{{2,63}})|(?P<odd>{_LOCAL}{_AT}(?:[^\W_][\w-]{{0,62}}{_DOT}){{1,8}}[^\W\d_]{{2,63}}))(?![\w@])", re.I)
 PHONE = re.compile(r"(?<![\w+./:-])(?:\+\d{1,3}[ .-]?(?:\(0\)\s?)?(?:\(?\d{1,5}\)?[ ./-]?){1,6}\d{2,}|\(0?\d{2,5}\)\s?\d{2,5}(?:[ ./-]?\d{2,5}){1,3}|0\d{1,4}[ /-]\d{2,8}(?:[ -]\d{2,5}){0,4})(?![\w-]|[.:]\d)")
 _ID_LABEL = (
     r"(?:passport|passeport|pasaporte|paszport\w*|reisepass\w*|pesel|dni|nif|nie|cpf|rg|curp|insee|siren|tax(?:payer)?(?: id| number| no\.?)?|steuer-?\s?(?:id|nummer|nr\.?)\w*|(?:national|personal|citizen) id(?:entity)?|id(?:entity)? card|"
@@ -34,8 +35,8 @@ _ID_VALUE = r"(?:[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|\d{3}-\d{2}-\d{4}|\d{2} \d
 ID_LABELLED = re.compile(rf"(?<!\w)(?:(?i:{_ID_LABEL})(?:[ -](?i:no\.?|nr\.?|number|num\.?|id|card))?|(?i:number|no\.|nummer|número|numéro))\s?[:#=]?\s?(?:is |lautet |est |es )?(?P<v>{_ID_VALUE})(?![\w-]|\.\d)")
 ID_SHAPE = re.compile(r"(?<![\w.-])(?:(?!000|666)\d{3}-\d{2}-\d{4}|[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TQW-Z] ?\d{2} \d{2} \d{2} ?[A-D]|QQ ?\d{2} ?\d{2} ?\d{2} ?[A-D])(?![\w-]|\.\d)")
 _UP = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĘĚĞĪĮŁŃŇŌŐŒŘŚŠŞŤŪŮŰŹŻŽ"
-_CAPW = rf"[{_UP}][^\W\d_]+(?:[-’'][{_UP}]?[^\W\d_]+)*"
-_NUM = r"\d{1,5}(?:\s?[a-zA-Z](?![\w]))?"
+_CAPW = rf"[{_UP}][^\W\d_]{{1,40}}(?:[-’'][{_UP}]?[^\W\d_]{{1,40}}){{0,3}}"
+_NUM = r"\d{1,5}(?:[a-zA-Z](?!\w))?"
 _EN = r"(?:Street|Road|Avenue|Lane|Close|Court|Drive|Crescent|Terrace|Place|Square|Way|Hill|Gardens?|Grove|Mews|Boulevard|Parkway|Row|Walk|Rd\.?|St\.|St|Ave\.?|Ln\.?|Dr\.|Blvd\.?)"
 _FLAT = r"(?:,? (?:flat|apt\.?|apartment|unit|suite|appt\.?|piso|puerta|m\.|lok\.|Wohnung|Whg\.?|кв\.) ?\w{1,5})?"
 ADDRESS = re.compile(
@@ -44,10 +45,10 @@ ADDRESS = re.compile(
     rf"|(?:[Cc]alle|[Aa]venida|[Aa]vda\.|[Pp]laza|[Pp]aseo|[Cc]amino|[Cc]arrera|[Rr]onda|[Rr]ua|[Tt]ravessa|[Ll]argo|[Pp]raça|[Aa]lameda|[Cc]\/)(?: (?:de la|de los|de las|del|de|da|do|das|dos|el|la))?(?: {_CAPW}){{1,3}},? (?:n[.ºo°]+ ?)?{_NUM}{_FLAT}"
     rf"|(?:ul\.|al\.|pl\.|os\.|ulica|aleja|plac)(?: {_CAPW}){{1,3}} \d{{1,4}}[a-zA-Z]?(?:/\d{{1,4}})?{_FLAT}"
     rf"|(?:ул\.|улица|пр\.|проспект|пер\.)(?: [А-ЯЁ][а-яё]+){{1,3}},? (?:д\. ?)?\d{{1,4}}{_FLAT}"
-    rf"|(?:{_CAPW} )?(?:[{_UP}][^\W\d_]*(?:straße|strasse|str\.|weg|gasse|allee|platz|ring|damm|ufer|steig|steg|graben|chaussee|promenade|markt|hof|berg|pfad|twiete|zeile)|(?:Am|An der|An den|Auf der|Im|In der|Zum|Zur|Unter den) {_CAPW}) {_NUM}(?:/\d{{1,4}})?{_FLAT})(?![\w-])"
+    rf"|(?:{_CAPW} )?(?:[{_UP}][^\W\d_]{{0,40}}(?:straße|strasse|str\.|weg|gasse|allee|platz|ring|damm|ufer|steig|steg|graben|chaussee|promenade|markt|hof|berg|pfad|twiete|zeile)|(?:Am|An der|An den|Auf der|Im|In der|Zum|Zur|Unter den) {_CAPW}) {_NUM}(?:/\d{{1,4}})?{_FLAT})(?![\w-])"
 )
 _PARTICLE = r"(?:van der|van den|van|von der|von|de la|de los|de|da|dos|del|della|di|du|der|den|la|le|bin|ibn|al|el|ter|ten|zu)"
-NAME = re.compile(rf"(?<![\w@:./#`'’&-])(?<!`)(?P<first>{_CAPW})(?P<rest>(?:[ ](?:{_PARTICLE} )?(?:{_CAPW}|[{_UP}]\.))+)(?![\w@(`/]|\.\w|['’]\w)")
+NAME = re.compile(rf"(?<![\w@:./#`'’&-])(?<!`)(?P<first>{_CAPW})(?P<rest>(?:[ ](?:{_PARTICLE} )?(?:{_CAPW}|[{_UP}]\.)){{1,5}})(?![\w@(`/]|\.\w|['’]\w)")
 TITLES = frozenset("Mr Mrs Ms Miss Dr Prof Professor Sir Madam Herr Frau Fräulein Monsieur Madame Mme Mlle Señor Señora Sr Sra Don Doña Senhor Senhora Pan Pani Doktor Dipl Ing Mag".split())
 _TITLE = re.compile(rf"^(?:(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\.? )+")
 _TOKEN = re.compile(r"[^\W_]+(?:[-’'][^\W_]+)*|\S")
@@ -60,13 +61,19 @@ _TECH_HOST = re.compile(r"^(?:node|host|srv|server|worker|db|app|n)\d*(?:\.|$)|\
 MIN_SUPPORT, WORD_SHARE, PHRASE_SHARE, REACH = 2, 0.15, 0.35, 40
 
 
+def _overlaps(spans: list[tuple], a: int, b: int) -> bool:
+    """Whether one of disjoint spans, sorted by place, meets [a, b)."""
+    i = bisect.bisect_left(spans, (a,))
+    return i < len(spans) and spans[i][0] < b or i > 0 and spans[i - 1][1] > a
+
+
 def formed(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of what its form or label tells, the earlier kinds first where spans meet."""
+    """(start, end, kind) of what its form or label tells, in order of place; the earlier kinds first where spans meet."""
     out: list[tuple[int, int, str]] = []
 
     def put(a: int, b: int, kind: str) -> None:
-        if not any(a < y and x < b for x, y, _ in out):
-            out.append((a, b, kind))
+        if not _overlaps(out, a, b):
+            bisect.insort(out, (a, b, kind))
 
     for m in EMAIL.finditer(text):
         v = m.group()
@@ -94,7 +101,7 @@ def formed(text: str) -> list[tuple[int, int, str]]:
             put(m.start(), m.end(), "phone")
     for m in ADDRESS.finditer(text):
         put(m.start(), m.end(), "address")
-    return sorted(out)
+    return out
 
 
 def _trim(text: str, a: int, b: int) -> tuple[int, int]:
@@ -111,7 +118,7 @@ def name_candidates(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[
     raw = []
     for m in NAME.finditer(text):
         a, b = _trim(text, m.start(), m.end())
-        if any(a < y and x < b for x, y, _ in spans):
+        if _overlaps(spans, a, b):
             continue
         if 2 <= len(text[a:b].split()) <= 6:
             raw.append((a, b))
@@ -124,24 +131,26 @@ def name_candidates(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[
         for skip, x in enumerate(starts[:-1]):
             if skip and (text[x + 1:x + 2] in (".", "") or not text[x].isupper()):
                 continue
-            others = [q for q in marks if q[:2] != (a, b)]
-            out.append((x, b, skip, _phrase(text, x, others, False), right, near, a))
+            out.append((x, b, skip, _phrase(text, x, marks, False, a), right, near, a))
     return out
 
 
 def _meets(text: str, b: int, spans, begins) -> bool:
     """A mailbox, number or phone starts within reach after the candidate, in the same sentence or on the next line, no other candidate before it."""
-    for x, _, k in spans:
-        if k != "address" and b <= x <= b + REACH:
+    for x, _, k in spans[bisect.bisect_left(spans, (b,)):]:
+        if x > b + REACH:
+            break
+        if k != "address":
             gap = text[b:x]
-            if any(b <= y < x for y in begins):
+            i = bisect.bisect_left(begins, b)
+            if i < len(begins) and begins[i] < x:
                 return False
             return gap.count("\n") <= 1 and not re.search(r"[.!?]\s+[^\W\d_]", gap) and (("\n" not in gap) or not gap.strip(" \n<(,:;") or gap.strip(" \n<(").lower() in ("tel.", "tel", "phone", "e-mail:", "email:"))
     return False
 
 
-def _phrase(text: str, at: int, marks, after: bool) -> str:
-    """The two tokens beside a position, digits as 9, other spans as their marks."""
+def _phrase(text: str, at: int, marks, after: bool, own: int = -1) -> str:
+    """The two tokens beside a position, digits as 9, other spans as their marks; ``own`` is where the candidate's own mark begins."""
     if after:
         s = text[at:at + 60]
         base = at
@@ -150,8 +159,13 @@ def _phrase(text: str, at: int, marks, after: bool) -> str:
         s = text[base:at]
     cut = []
     pos = 0
-    for x, y, mark in marks:
-        if y <= base or x >= base + len(s):
+    first = bisect.bisect_left(marks, (base,))
+    while first and marks[first - 1][1] > base:  # marks are disjoint
+        first -= 1
+    for x, y, mark in marks[first:first + 60]:
+        if x >= base + len(s):
+            break
+        if y <= base or x == own:
             continue
         cut.append(s[pos:max(0, x - base)])
         cut.append(f" {mark} ")

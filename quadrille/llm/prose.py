@@ -98,7 +98,7 @@ def languages_of(parts: list[str]) -> list[str | None]:
         v = votes[bisect.bisect_right(begins, a) - 1]
         for lang in langs:
             v[lang] = v.get(lang, 0) + vote
-            if len(langs) == 1:
+            if size > 1:
                 v["+" + lang] = v.get("+" + lang, 0) + 1
     return [_decide(x, v) for x, v in zip(parts, votes)]
 
@@ -118,7 +118,7 @@ def _decide(text: str, v: dict[str, float]) -> str | None:
         return None
     best, lang = ranked[0]
     second = ranked[1][0] if len(ranked) > 1 else 0
-    if lang == "ru" or best <= second * 1.15 or best < 1 or best < 0.06 * len(words):
+    if lang == "ru" or "+" + lang not in v or best <= second * 1.15 or best < 1 or best < 0.06 * len(words):
         return None
     return lang
 

@@ -22,4 +22,14 @@ QUERIES = {
     "p10_found": pii.p10_found,
     "p10_redacted": pii.p10_redacted,
 }
-ORACLE: dict[str, str] = {}
+#: Words of a text in SQL, as ``leaks.words_of`` gives them.
+_WORDS = r"""[trim(x, '_') for x in regexp_extract_all(lower(regexp_replace(regexp_replace(text, '[\x{AD}\x{34F}\x{61C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{FE00}-\x{FE0F}\x{FEFF}\x{E0000}-\x{E007F}]', '', 'g'), '(?s)<!--.*?-->|</?[A-Za-z][^<>\n]{0,300}>|&(?:[a-zA-Z]{2,8}|#[0-9]{1,6}|#x[0-9a-fA-F]{1,6});|\]\([^()\s]*\)', ' ', 'g')), '[\p{L}\p{N}_]+') if trim(x, '_') <> '']"""
+
+
+def _grams(table: str, key: str) -> str:
+    return f"SELECT {key}, unnest([array_to_string(w[i:i + 9], ' ') for i in range(1, len(w) - 8)]) AS g FROM (SELECT {key}, {_WORDS} AS w FROM {table} WHERE text IS NOT NULL)"
+
+
+ORACLE: dict[str, str] = {
+    "p9_found": f"SELECT DISTINCT doc_id, item_id FROM ({_grams('documents', 'doc_id')}) d JOIN ({_grams('eval_item', 'item_id')}) i USING (g)",
+}

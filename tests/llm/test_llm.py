@@ -159,12 +159,12 @@ def test_no_forms(text):
 
 def test_names_by_co_occurrence(spark):
     people = ["Anna Berg", "Carl Dahl", "Eva Falk", "Gus Holm"]
-    texts = [f"Reviewed-by: {p} <{p.split()[0].lower()}@x.example>\n" for p in people] + [f"Thanks to {p} for the patch.\n" for p in [*people, "Ines Jung"]] + ["Label Macro and Mira Ledger share rows. The label of a macro is in the ledger.", "If Foo is absent", None, ""]
+    texts = [f"Reviewed-by: {p} <{p.split()[0].lower()}@x.example>\n" for p in people for _ in range(2)] + [f"Thanks to {p} for the patch.\n" for p in [*people, "Ines Jung"]] + ["Label Macro and Mira Ledger share rows. The label of a macro is in the ledger.", "If Foo is absent", None, ""]
     d = docs(spark, texts)
     got = {(r.doc_id, r.pii_value) for r in pii.personal_information(d).filter("kind = 'name'").collect()}
-    assert got == {(i, p) for i, p in enumerate([*people, *people, "Ines Jung"])}
+    assert got == {(i, p) for i, p in enumerate([*[p for p in people for _ in range(2)], *people, "Ines Jung"])}
     red = {r.doc_id: r.text for r in pii.redact(d, pii.personal_information(d)).collect()}
-    assert red[0] == "Reviewed-by: [NAME] <[EMAIL]>\n" and red[8] == "Thanks to [NAME] for the patch.\n" and red[11] is None and red[12] == ""
+    assert red[0] == "Reviewed-by: [NAME] <[EMAIL]>\n" and red[12] == "Thanks to [NAME] for the patch.\n" and red[15] is None and red[16] == ""
 
 
 def test_queries_are_named_by_problem():
