@@ -28,6 +28,10 @@ CONTROL = ("if", "unless", "cond", "case", "with", "receive", "for")
 SPECIAL = (*DEFINERS, *MODULES, *CONTROL, "alias", "import", "require", "use", "quote", "unquote", "unquote_splicing", "try", "raise", "reraise", "throw", "exit", "super", "fn", "defstruct", "defexception", "defoverridable", "@")
 
 
+#: Calls whose text facts look into; of others only the name is kept, so that nested calls do not repeat each other's text.
+_TEXTS = frozenset(["alias", "import", "require", "use", "defstruct", "defexception", "defimpl", "Supervisor.init", "Supervisor.start_link", "DynamicSupervisor.init", "DynamicSupervisor.start_link", ":ets.new"])
+
+
 class Leaf(str):
     """Text of a token with its terminal and line."""
 
@@ -156,7 +160,7 @@ def nodes_of(file_id: int, text: str) -> list[tuple]:
             continue
         if id(x) in heads:
             kind = "head"
-        row = [file_id, pre, None, parent, depth, nth, kind, name, _text(x)[:4000] if kind in ("attribute", "call", "remote_call", "struct", "alias") else name, n, defaults, has_do, _line(x), mod2 if kind == "call" and name in MODULES else module, fun2 if kind == "call" and name in DEFINERS else fun, ar2 if kind == "call" and name in DEFINERS else arity]
+        row = [file_id, pre, None, parent, depth, nth, kind, name, _text(x)[:4000] if kind == "attribute" or name in _TEXTS else name, n, defaults, has_do, _line(x), mod2 if kind == "call" and name in MODULES else module, fun2 if kind == "call" and name in DEFINERS else fun, ar2 if kind == "call" and name in DEFINERS else arity]
         rows.append(row)
         me = pre
         pre += 1
