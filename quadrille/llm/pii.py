@@ -26,10 +26,10 @@ _AT = r"(?:\s?[\(\[\{<]\s?(?:at|@)\s?[\)\]\}>]\s?|\s(?:at|AT)\s)"
 _DOT = r"(?:\s?[\(\[\{]\s?(?:dot|\.)\s?[\)\]\}]\s?|\s(?:dot|DOT)\s|\.)"
 _LOCAL = r"[^\W_](?:[\w.+'-]{0,62}\w)?"
 EMAIL = re.compile(rf"(?<![\w.+@/-])(?:(?P<plain>{_LOCAL}@(?:[^\W_][\w-]{{0,62}}\.){{1,8}}[^\W\d_]{{2,63}})|(?P<odd>{_LOCAL}{_AT}(?:[^\W_][\w-]{{0,62}}{_DOT}){{1,8}}[^\W\d_]{{2,63}}))(?![\w@])", re.I)
-PHONE = re.compile(r"(?<![\w+./:-])(?:\+\d{1,3}[ .-]?(?:\(0\)\s?)?(?:\(?\d{1,5}\)?[ ./-]?){1,6}\d{2,}|\(0?\d{2,5}\)\s?\d{2,5}(?:[ ./-]?\d{2,5}){1,3}|0\d{1,4}[ /-]\d{2,8}(?:[ -]\d{2,5}){0,4})(?![\w-]|[.:]\d)")
+PHONE = re.compile(r"(?<![\w+./:-])(?:\+\d{1,3}[ .-]?(?:\(0\)\s?)?(?:\(?\d{1,5}\)?[ ./-]?){1,6}\d{2,}|\d{3}([.-])\d{3}\1\d{4}|\(0?\d{2,5}\)\s?\d{2,5}(?:[ ./-]?\d{2,5}){1,3}|0\d{1,4}[ /-]\d{2,8}(?:[ -]\d{2,5}){0,4})(?![\w-]|[.:]\d)")
 _ID_LABEL = (
     r"(?:passport|passeport|pasaporte|paszport\w*|reisepass\w*|pesel|dni|nif|nie|cpf|rg|curp|insee|siren|tax(?:payer)?(?: id| number| no\.?)?|steuer-?\s?(?:id|nummer|nr\.?)\w*|(?:national|personal|citizen) id(?:entity)?|id(?:entity)? card|"
-    r"identity(?: document| card)?|personalausweis\w*|ausweis\w*|ssn|social security|national insurance|ni|nino|sozialversicherung\w*|versicherungsnummer|svnr|social insurance|sin|codice fiscale|bsn|паспорт\w*|инн|снилс)"
+    r"identity(?: document| card)?|travel document|reisedokument|documento? de (?:voyage|viaje|identidad|identidade)|carte d['’]identité|dowód(?: osobisty)?|driv(?:er['’]s|ing) licen[cs]e|personalausweis\w*|ausweis\w*|ssn|social security|national insurance|ni|nino|sozialversicherung\w*|versicherungsnummer|svnr|social insurance|sin|codice fiscale|bsn|паспорт\w*|инн|снилс)"
 )
 _ID_VALUE = r"(?:[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|\d{3}-\d{2}-\d{4}|\d{2} \d{3} \d{3} \d{3}|[A-Z]{1,3}[ -]?\d{5,9}[A-Z]?|[XYZ]?-?\d{7,8}-?[A-Z]|\d{2,4}(?:[ .-]\d{2,4}){2,4}|\d{8,14})"
 ID_LABELLED = re.compile(rf"(?<!\w)(?:(?i:{_ID_LABEL})(?:[ -](?i:no\.?|nr\.?|number|num\.?|id|card))?|(?i:number|no\.|nummer|número|numéro))\s?[:#=]?\s?(?:is |lautet |est |es )?(?P<v>{_ID_VALUE})(?![\w-]|\.\d)")

@@ -146,13 +146,13 @@ def test_words_ignore_case_markup_and_invisible_characters():
 
 @pytest.mark.parametrize(
     "text,kind,value",
-    [("write to a.b+c@mail.host.example, now", "email", "a.b+c@mail.host.example"), ("ping x_y (at) host (dot) example", "email", "x_y (at) host (dot) example"), ("ping x at host dot example today", "email", "x at host dot example"), ("see mailto:ab@c.example.", "email", "ab@c.example"), ("Tel. +49 (0)30 23125 911", "phone", "+49 (0)30 23125 911"), ("call (415) 555-0186 now", "phone", "(415) 555-0186"), ("tel 030/23125405.", "phone", "030/23125405"), ("with passport no. ZZ9137362.", "idnum", "ZZ9137362"), ("NI number QQ 43 65 73 D", "idnum", "QQ 43 65 73 D"), ("tax id 00 120 389 510 in it", "idnum", "00 120 389 510"), ("with number 966-43-7239.", "idnum", "966-43-7239"), ("sits at 9b Linden Court, second", "address", "9b Linden Court"), ("to ul. Kamienna 223/23.", "address", "ul. Kamienna 223/23"), ("at Calle del Molino 130 x", "address", "Calle del Molino 130"), ("at 214 rue des Noisetiers.", "address", "214 rue des Noisetiers"), ("at Slategasse 208, x", "address", "Slategasse 208")],
+    [("write to a.b+c@mail.host.example, now", "email", "a.b+c@mail.host.example"), ("ping x_y (at) host (dot) example", "email", "x_y (at) host (dot) example"), ("ping x at host dot example today", "email", "x at host dot example"), ("see mailto:ab@c.example.", "email", "ab@c.example"), ("Tel. +49 (0)30 23125 911", "phone", "+49 (0)30 23125 911"), ("call (415) 555-0186 now", "phone", "(415) 555-0186"), ("tel 030/23125405.", "phone", "030/23125405"), ("(303.555.0102).", "phone", "303.555.0102"), ("travel document ZZ2711223", "idnum", "ZZ2711223"), ("with passport no. ZZ9137362.", "idnum", "ZZ9137362"), ("NI number QQ 43 65 73 D", "idnum", "QQ 43 65 73 D"), ("tax id 00 120 389 510 in it", "idnum", "00 120 389 510"), ("with number 966-43-7239.", "idnum", "966-43-7239"), ("sits at 9b Linden Court, second", "address", "9b Linden Court"), ("to ul. Kamienna 223/23.", "address", "ul. Kamienna 223/23"), ("at Calle del Molino 130 x", "address", "Calle del Molino 130"), ("at 214 rue des Noisetiers.", "address", "214 rue des Noisetiers"), ("at Slategasse 208, x", "address", "Slategasse 208")],
 )
 def test_forms(text, kind, value):
     assert [(text[a:b], k) for a, b, k in pii.formed(text)] == [(value, kind)]
 
 
-@pytest.mark.parametrize("text", ["The node ledger@node9.cluster.test left.", "Clone git@forge.example:a/b.git now", "works with pkg@4.18.4 on", "port range 4250-9835 on 192.0.2.106", "Build 2023-11-19 took 573.561 ms", "Row 839-998-8 in batch 895213", "share 10 000 rows", "", "at offset 4306576281."])
+@pytest.mark.parametrize("text", ["The node ledger@node9.cluster.test left.", "Clone git@forge.example:a/b.git now", "works with pkg@4.18.4 on", "port range 4250-9835 on 192.0.2.106", "Build 2023-11-19 took 573.561 ms", "Row 839-998-8 in batch 895213", "share 10 000 rows", "Ref: 99c97d92-3538-4b24-af52-200120518073", "on 192.0.2.106.", "", "at offset 4306576281."])
 def test_no_forms(text):
     assert pii.formed(text) == []
 
