@@ -60,6 +60,7 @@ def parse_source(lang: str, text: str) -> Parsed:
             p.tokens, p.comments = erlang.lex(text)
             p.strings = [(k[3], k[1].strip('"'), k[2], "string") for k in p.tokens if k[0] == "STR"]
             p.tree = lalr.parse(t, p.tokens)
+            erlang.check(p.tree, p.tokens)
         elif lang == "javascript":
             x = javascript.Lexed()
             p.tokens, p.comments, p.strings = x.tokens, x.comments, x.strings

@@ -183,5 +183,18 @@ def lex(src: str) -> tuple[list[tuple], list[tuple]]:
     return out, comments
 
 
+def check(tree, tokens) -> None:
+    """Clauses of one function have one name and one number of arguments."""
+    for form in tree:
+        if type(form) is list and len(form) > 1 and all(type(c) is tuple and c[0].startswith("fclause") for c in form):
+            heads = [(c[1][0], len(c[1][2]) if c[0] == "fclause" else 0) for c in form]
+            for c, h in zip(form[1:], heads[1:]):
+                if h != heads[0] and not (h[0].startswith("?") or heads[0][0].startswith("?")):
+                    raise SyntaxFault("head mismatch", tokens[c[2]][2])
+
+
 def read(tables: Tables, src: str):
-    return parse(tables, lex(src)[0])
+    tokens = lex(src)[0]
+    tree = parse(tables, tokens)
+    check(tree, tokens)
+    return tree

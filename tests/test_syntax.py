@@ -19,7 +19,7 @@ GOOD = {
 }
 BAD = {
     "elixir": ["defmodule A do\n", "{:ok, 1 2}", "x = (1, 2]", "def f do\nend\nend\n", '"open', "<<<<<<< ours\n", "if x do\n 1\n", "[a: 1 b: 2]", "a do -> end end"],
-    "erlang": ["f(X) -> {ok, [1, 2}.\n", "f(X) =>\n 1.\n", "f() -> a", "<<<<<<< HEAD\n", "f() -> case x of a -> b.\n"],
+    "erlang": ["f(X) -> {ok, [1, 2}.\n", "f(X) =>\n 1.\n", "f() -> a", "<<<<<<< HEAD\n", "f() -> case x of a -> b.\n", "f(X) -> X;\ng(Y) -> Y.\n", "f(X) -> X;\nf(Y, Z) -> Y.\n"],
     "javascript": ["function f( {", "const a = { b: 1 c: 2 };", "<!doctype html>", "if (a) }", "let = = 1", "/* open", "x = `a${b", "{ \"a\": 1, \"b\": 2 }", "a b"],
     "json": ["", "{a: 1}", "[1, ]", '{"a": 1', "01", "[1] x"],
     "python": ["def f(:\n  1", "x = (1, 2", "if a:\nb", "print 'x'", "def f(a=1, b): pass", "f() = 1", "class\n", "x = 'a", "  x = 1\n y = 2\n", "return = 1", "for 1 in x: pass"],
