@@ -346,7 +346,7 @@ def placeholder_gaps(spark, folder):
     return table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.max("l_linenumber").alias("most"), F.array_sort(F.array_except(F.sequence(F.lit(1).cast("bigint"), F.max("l_linenumber").cast("bigint")), have)).alias("gaps"))
 
 
-@query("interval_enclosing", "SELECT event_id, max(s) AS scope FROM (SELECT event_id, epoch(ts) // 3600 AS h, user_id FROM events) e LEFT JOIN (SELECT DISTINCT user_id AS u, CAST(epoch(ts) AS BIGINT) // 7200 * 2 AS s FROM events) o ON e.user_id = o.u AND e.h BETWEEN o.s AND o.s + 2 GROUP BY 1")
+@query("interval_enclosing", "SELECT event_id, max(s) AS scope FROM (SELECT event_id, epoch_ms(ts) // 1000 // 3600 AS h, user_id FROM events) e LEFT JOIN (SELECT DISTINCT user_id AS u, epoch_ms(ts) // 1000 // 7200 * 2 AS s FROM events) o ON e.user_id = o.u AND e.h BETWEEN o.s AND o.s + 2 GROUP BY 1")
 def interval_enclosing(spark, folder):
     e = table(spark, folder, "events").select("event_id", "user_id", F.expr("unix_seconds(cast(ts as timestamp)) div 3600").alias("h"))
     scopes = e.select("user_id", F.expr("h div 2 * 2").alias("first")).distinct().withColumn("last", F.col("first") + 2).withColumn("scope", F.col("first"))
