@@ -118,7 +118,9 @@ def _decide(text: str, v: dict[str, float]) -> str | None:
         return None
     best, lang = ranked[0]
     second = ranked[1][0] if len(ranked) > 1 else 0
-    if lang == "ru" or "+" + lang not in v or best <= second * 1.15 or best < 1 or best < 0.06 * len(words):
+    if "+" + lang not in v and 2 * sum(len(w) > 3 for w in words) < len(words):
+        return None  # one-letter words alone decide only among words of a natural length
+    if lang == "ru" or best <= second * 1.15 or best < 1 or best < 0.06 * len(words):
         return None
     return lang
 

@@ -30,7 +30,7 @@ def test_parse_faults_of_current_files(spark):
 
 @pytest.mark.parametrize(
     "text,lang",
-    [("The cache drops every path before the next run", "en"), ("Der Prozess löscht die alten Zeilen nach jedem Lauf", "de"), ("La tarea compara los nodos antes del siguiente arranque", "es"), ("Le module trie les lignes quand la mémoire est pleine", "fr"), ("Proces kopiuje listę paczek przed następnym startem gdy jest pełna", "pl"), ("O grafo remove os campos antes do próximo arranque", "pt"), ("Процесс читает имя текущей ветки за один проход", "ru"), ("图构建器用一次扫描删除空白的字段。", "zh"), ("収集処理は一度の走査で空の項目を削除します。", "ja"), ("Guten Morgen", None), ("数据已满", None), ("", None), ("a b c d e f g", None)],
+    [("The cache drops every path before the next run", "en"), ("Der Prozess löscht die alten Zeilen nach jedem Lauf", "de"), ("La tarea compara los nodos antes del siguiente arranque", "es"), ("Le module trie les lignes quand la mémoire est pleine", "fr"), ("Proces kopiuje listę paczek przed następnym startem gdy jest pełna", "pl"), ("O grafo remove os campos antes do próximo arranque", "pt"), ("Процесс читает имя текущей ветки за один проход", "ru"), ("图构建器用一次扫描删除空白的字段。", "zh"), ("収集処理は一度の走査で空の項目を削除します。", "ja"), ("Guten Morgen", None), ("数据已满", None), ("", None), ("a b c d e f g", None), ("Licznik pomija węzły w jednym przejściu", "pl")],
 )
 def test_language_of_passages(text, lang):
     assert prose.languages_of([text, "x"])[0] in ((lang,) if lang else (None, "en"))
