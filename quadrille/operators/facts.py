@@ -160,7 +160,7 @@ def nodes_of(file_id: int, text: str) -> list[tuple]:
             continue
         if id(x) in heads:
             kind = "head"
-        row = [file_id, pre, None, parent, depth, nth, kind, name, _text(x)[:4000] if kind == "attribute" or name in _TEXTS else name, n, defaults, has_do, _line(x), mod2 if kind == "call" and name in MODULES else module, fun2 if kind == "call" and name in DEFINERS else fun, ar2 if kind == "call" and name in DEFINERS else arity]
+        row = [file_id, pre, None, parent, depth, nth, kind, name, _text(x) if kind == "attribute" or name in _TEXTS else name, n, defaults, has_do, _line(x), mod2 if kind == "call" and name in MODULES else module, fun2 if kind == "call" and name in DEFINERS else fun, ar2 if kind == "call" and name in DEFINERS else arity]
         rows.append(row)
         me = pre
         pre += 1

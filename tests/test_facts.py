@@ -158,3 +158,16 @@ def test_processes(spark):
     assert facts.find(n, "module").count() == 1 and facts.find(n, "literal").count() > 5
     q = facts.build(n)
     assert q.filter(F.col("p").endswith("supervises")).count() == 2 == q.filter(F.col("p").endswith("supervisedBy")).count()
+
+
+def test_long_texts_are_whole(spark):
+    points = ", ".join(f"{{{i}, {i}}}" for i in range(1000))
+    fields = ", ".join(f":field_{i}" for i in range(500))
+    children = ", ".join(f"{{Worker, {i}}}" for i in range(500))
+    src = f"defmodule Long do\n  @points [{points}]\n  defstruct [{fields}]\n  def start, do: Supervisor.start_link([{children}], strategy: :rest_for_one, max_restarts: 9)\nend\n"
+    n = facts.ast_nodes(spark.createDataFrame([(1, "l.ex", src)], "file_id bigint, path string, content string")).cache()
+    text = facts.attributes(n).filter("name = 'points'").first().text
+    assert len(text) > 4000 and text.endswith("{999, 999}]") and text.count("{") == 1000
+    assert facts.structs(n).first().fields == [f"field_{i}" for i in range(500)]
+    s = facts.supervisors(n).first()
+    assert (s.strategy, s.max_restarts) == ("rest_for_one", 9)
