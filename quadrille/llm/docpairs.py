@@ -67,7 +67,11 @@ def says_nothing(doc: str | None, name: str, arity: int) -> bool:
 
 
 def pairs_of(path: str | None, content: str | None) -> list[tuple] | None:
-    """(fun_name, arity, description, line) of the documented functions of a valid file."""
+    """(fun_name, arity, description, line, end_line, ranges, code) of the documented functions of a valid file.
+
+    A function is all its clauses in one module; ``ranges`` are (start, end) offsets in the normalised text, one for each run of clauses with no
+    other function between, and ``code`` is the text of these ranges.
+    """
     lang = language_of(path)
     if lang is None:
         return None
@@ -75,24 +79,43 @@ def pairs_of(path: str | None, content: str | None) -> list[tuple] | None:
     p = parse_source(lang, text)
     if p.fault is not None:
         return None
-    got: dict[tuple, tuple] = {}
-    for f in functions(p, text):
-        if f.doc is None or f.hidden or says_nothing(f.doc, f.name, f.arity):
+    clauses: dict[tuple, list] = {}
+    last = None
+    for n, f in enumerate(functions(p, text)):
+        key = (f.name, f.arity, f.module if lang == "elixir" else n)
+        runs = clauses.setdefault(key, [])
+        if runs and key == last:
+            runs[-1].append(f)
+        else:
+            runs.append([f])
+        last = key
+    out = []
+    for (name, arity, _), runs in clauses.items():
+        doc = next((f.doc for r in runs for f in r if not (f.doc is None or f.hidden or says_nothing(f.doc, name, arity))), None)
+        if doc is None:
             continue
-        got.setdefault((f.name, f.arity), (f.name, f.arity, "\n".join(x.strip() for x in f.doc.strip().split("\n")), f.line))
-    return list(got.values())
+        ranges = [(r[0].start, r[-1].end) for r in runs]
+        out.append((name, arity, "\n".join(x.strip() for x in doc.strip().split("\n")), runs[0][0].line, runs[-1][-1].end_line, ranges, "\n".join(text[a:b] for a, b in ranges)))
+    return out
+
+
+def names_of(path: str | None, content: str | None) -> list[tuple] | None:
+    """Distinct (fun_name, arity) of the documented functions of a valid file."""
+    pairs = pairs_of(path, content)
+    return pairs if pairs is None else list(dict.fromkeys(x[:2] for x in pairs))
 
 
 def documented_functions(files: DataFrame) -> DataFrame:
-    """(file_id, fun_name, arity, description, line) of the current state of each valid code file; clauses of a function are one row."""
-    rows = analyse(files, pairs_of, "array<struct<fun_name string, arity int, description string, line int>>")
+    """(file_id, fun_name, arity, description, line, end_line, ranges, code) of the current state of each valid code file, one row for each function."""
+    rows = analyse(files, pairs_of, "array<struct<fun_name string, arity int, description string, line int, end_line int, ranges array<struct<start int, end int>>, code string>>")
     return current(rows, "result").select("file_id", F.explode("result").alias("r")).select("file_id", "r.*")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return documented_functions(source_files(spark, folder)).select("file_id", "fun_name", "arity")
+    rows = analyse(source_files(spark, folder), names_of, "array<struct<fun_name string, arity int>>")
+    return current(rows, "result").select("file_id", F.explode("result").alias("r")).select("file_id", "r.*")
 
 
 def p5_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """The pairs with their descriptions and lines."""
+    """The pairs with their descriptions, source ranges and code."""
     return documented_functions(source_files(spark, folder))

@@ -88,7 +88,10 @@ def fault_of(lang: str, text: str) -> SyntaxFault | None:
 
 @dataclass
 class Function:
-    """A function with the documentation attached to it (None without any) and its source range in lines."""
+    """A function with the documentation attached to it (None without any) and its source range: offsets in the normalised text, and lines.
+
+    ``module`` is the place of the module that an Elixir clause stands in; clauses of one function agree in it.
+    """
 
     name: str
     arity: int
@@ -96,6 +99,19 @@ class Function:
     hidden: bool
     line: int
     kind: str = "function"
+    start: int = 0
+    end: int = 0
+    end_line: int = 0
+    module: int | None = None
+
+
+def _range(tokens: list, text: str, first: int, past: int) -> tuple[int, int, int]:
+    """Start, end and last line of the tokens [first, past), without line ends and layout tokens at the end."""
+    while past - 1 > first and tokens[past - 1][0] in ("NEWLINE", "INDENT", "DEDENT", "ASI", "sep"):
+        past -= 1
+    start, last = tokens[first][3], tokens[past - 1]
+    end = last[4] if len(last) > 4 else last[3] + len(last[1])
+    return start, end, tokens[first][2] + text.count("\n", start, end)
 
 
 def functions(p: Parsed, text: str) -> list[Function]:
@@ -136,12 +152,12 @@ def _elixir(p: Parsed, text: str) -> list[Function]:
     def strip2(x):
         return (x[0], x[1]) if type(x) is tuple else x
 
-    def body(items) -> None:
+    def body(items, module: int) -> None:
         doc, hidden = None, False
         for it in items:
             if type(it) is not tuple:
                 continue
-            label, kids, start = it
+            label, kids, start = it[:3]
             if label == "at":
                 inner = kids[1]
                 if type(inner) is tuple and inner[0] in ("call",) and kids_name(inner) == "doc":
@@ -165,11 +181,11 @@ def _elixir(p: Parsed, text: str) -> list[Function]:
                 h = _head3(args[0]) if args else None
                 if h:
                     public = name in ("def", "defmacro", "defguard", "defdelegate")
-                    out.append(Function(h[0], h[1], doc if public else None, hidden or not public, tokens[start][2], name))
+                    out.append(Function(h[0], h[1], doc if public else None, hidden or not public, tokens[start][2], name, *_range(tokens, text, start, it[3]), module))
                 doc, hidden = None, False
                 continue
             if label == "call_do" and name in ("defmodule", "defprotocol", "defimpl"):
-                walk_block(kids[-1])
+                walk_block(kids[-1], start)
                 doc, hidden = None, False
 
     def kids_name(x) -> str | None:
@@ -197,16 +213,16 @@ def _elixir(p: Parsed, text: str) -> list[Function]:
             x = x[1][0]
         return _head(strip2(x)) if type(x) is tuple else _head(x)
 
-    def walk_block(b) -> None:
+    def walk_block(b, module: int) -> None:
         if type(b) is tuple and b[0] == "do":
             for part in b[1]:
                 if type(part) is list:
-                    body([y for y in part])
+                    body([y for y in part], module)
 
     def top(items) -> None:
         for it in items:
             if type(it) is tuple and it[0] == "call_do" and kids_name(it) in ("defmodule", "defprotocol", "defimpl"):
-                walk_block(it[1][-1])
+                walk_block(it[1][-1], it[2])
 
     top(p.tree)
     return out
@@ -241,7 +257,7 @@ def _erlang(p: Parsed, text: str) -> list[Function]:
             doc, hidden = edoc(pending)
             name = clauses[0][1][0]
             args = clauses[0][1][2] if clauses[0][0] == "fclause" else []
-            out.append(Function(name.strip("'"), len(args), doc, hidden, line))
+            out.append(Function(name.strip("'"), len(args), doc, hidden, line, "function", *_range(tokens, text, start, clauses[-1][3] + 1)))
             pending = []
         elif form[0] not in ("spec", "typedef"):
             if not (form[0] == "attr" and len(form[1]) > 1 and form[1][1] in ("deprecated", "dialyzer", "compile")):
@@ -315,23 +331,26 @@ def _javascript(p: Parsed, text: str) -> list[Function]:
         c = docs.get(i)
         return jsdoc(c) if c is not None else (None, False)
 
-    def add(name, params, start, kind="function"):
+    def add(name, params, start, end, kind="function"):
         d, h = doc_at(start)
-        out.append(Function(name, params if type(params) is int else count(params), d, h, tokens[start][2], kind))
+        out.append(Function(name, params if type(params) is int else count(params), d, h, tokens[start][2], kind, *_range(tokens, text, start, end)))
 
     def value(name, v, start) -> None:
         """A variable, field or property that holds a function."""
+        if type(v) is not tuple:
+            return
+        end = v[3]
         while type(v) is tuple and v[0] == "paren":
             v = v[1][1]
         if type(v) is not tuple:
             return
         label, kids = v[0], v[1]
         if label == "arrow1":
-            add(name, 1, start)
+            add(name, 1, start, end)
         elif label == "arrow":
-            add(name, len(next((k for k in kids if type(k) is list), [])), start)
+            add(name, len(next((k for k in kids if type(k) is list), [])), start, end)
         elif label in ("fun0", "fun", "gen0", "gen", "afun0", "afun", "agen0", "agen"):
-            add(name, next(k for k in kids if type(k) is tuple and k[0] == "params"), start)
+            add(name, next(k for k in kids if type(k) is tuple and k[0] == "params"), start, end)
 
     def visit(x, start=None) -> None:
         todo = [(x, start)]
@@ -342,7 +361,7 @@ def _javascript(p: Parsed, text: str) -> list[Function]:
                 continue
             if type(y) is not tuple:
                 continue
-            label, kids, i = y
+            label, kids, i = y[:3]
             at = i if at is None else at
             if label == "export":
                 todo.extend((k, i) if type(k) is tuple else (k, None) for k in reversed(kids))
@@ -360,12 +379,12 @@ def _javascript(p: Parsed, text: str) -> list[Function]:
             elif label in ("fun", "gen", "afun", "agen"):
                 k = [z for z in kids if type(z) is str and z not in ("function", "function_x", "async", "*")]
                 if tokens[i][0] in ("function", "async") and k:
-                    add(k[0], next(z for z in kids if type(z) is tuple and z[0] == "params"), at)
+                    add(k[0], next(z for z in kids if type(z) is tuple and z[0] == "params"), at, y[3])
             elif label in ("method", "getter", "setter", "mgen", "amethod", "amgen"):
                 k = [z for z in kids if type(z) is str and z not in ("get", "set", "*", "async")] or [z for z in kids if type(z) is str]
                 if k:
                     first = i - 1 if i and tokens[i - 1][0] == "static" else i
-                    add(k[0], next(z for z in kids if type(z) is tuple and z[0] == "params"), first, "method")
+                    add(k[0], next(z for z in kids if type(z) is tuple and z[0] == "params"), first, y[3], "method")
             elif label == "field" and len(kids) == 3 and type(kids[0]) is str:
                 value(kids[0], kids[2], i - 1 if i and tokens[i - 1][0] == "static" else i)
             todo.extend((z, None) for z in reversed(kids) if type(z) in (tuple, list))
@@ -384,12 +403,12 @@ def _python(p: Parsed, text: str) -> list[Function]:
             continue
         if type(y) is not tuple:
             continue
-        label, kids, i = y
+        label, kids, i, end = y
         if label in ("def", "adef"):
             name = next(k for k in kids if type(k) is str and k not in ("def", "async"))
             params = next((k for k in kids if type(k) is list), [])
             n = sum(q[0] in ("p", "pd", "pkw") or q[0] == "pstar" and len(q[1]) > 1 for q in params)
-            out.append(Function(name, n, docstring(kids[-1]), False, p.tokens[i][2]))
+            out.append(Function(name, n, docstring(kids[-1]), False, p.tokens[i][2], "function", *_range(p.tokens, text, i, end)))
         todo.extend(k for k in kids if type(k) in (tuple, list))
     return sorted(out, key=lambda f: f.line)
 

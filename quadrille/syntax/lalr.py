@@ -279,7 +279,7 @@ class Machine:
                 return
             lhs, n, op, arg = rules[-a]
             if n == 0:
-                v = [] if op == 1 else None if op == 0 else (arg, [], self.count)
+                v = [] if op == 1 else None if op == 0 else (arg, [], self.count, self.count)
                 start = self.count
             else:
                 start = starts[-n]
@@ -291,7 +291,7 @@ class Machine:
                     v = values[-n]
                     v.append(values[-1])
                 else:
-                    v = (arg, values[-n:], start)
+                    v = (arg, values[-n:], start, self.count)
                 del states[-n:], values[-n:], starts[-n:]
             states.append(goto[states[-1]][lhs])
             values.append(v)

@@ -57,6 +57,21 @@ def test_pairs(spark):
     assert sorted((r.file_id, r.fun_name, r.arity) for r in docpairs.documented_functions(f).collect()) == [(1, "f", 2), (2, "f", 1)]
 
 
+def test_pairs_hold_the_code_of_all_clauses():
+    one = "def f(a), do: a"
+    two = "def f(0, b) do\n    b\n  end\n  def f(a, _), do: a"
+    got = docpairs.pairs_of("a.ex", f'\ufeffdefmodule A do\r\n  @doc "Counts from one."\n  {two}\n  def g, do: 1\n  def f(_, 9), do: 9\nend\ndefmodule B do\n  @doc "Counts from two."\n  {two}\n  @doc "Keeps one."\n  {one}\nend\n')
+    assert [(x[0], x[1], x[2], x[3], x[4], x[6]) for x in got] == [("f", 2, "Counts from one.", 3, 8, two + "\ndef f(_, 9), do: 9"), ("f", 2, "Counts from two.", 12, 15, two), ("f", 1, "Keeps one.", 17, 17, one)]
+    assert len(got[0][5]) == 2 and docpairs.names_of("a.ex", "x = 1") == []
+    erl = "f(0) -> 1;\nf(X) ->\n  X."
+    py = 'def f(a):\n    """Keeps the order."""\n    return a'
+    js = "function f(a) {\n  return a;\n}"
+    arrow = "const g = (a) => {\n  return a;\n}"
+    for path, text, codes in (("a.erl", f"-module(a).\n%% @doc Keeps the order.\n{erl}\n\ng() -> 1.\n", [erl]), ("a.py", f"x = 1\n{py}\n\n\ny = 2\nclass B:\n    {py.replace(chr(10), chr(10) + '    ')}\n", [py, py.replace("\n", "\n    ")]), ("a.js", f"/** Keeps the order. */\n{js}\nlet y = 1;\n/** Drops the order. */\n{arrow};\n", [js, arrow])):
+        pairs = docpairs.pairs_of(path, text)
+        assert [x[6] for x in pairs] == codes and [text[a:b] for x in pairs for a, b in x[5]] == codes and all(x[4] - x[3] == x[6].count("\n") for x in pairs)
+
+
 def _elixir(name, n=6):
     return f"defmodule {name}.Thing do\n" + "".join(f"  def f{i}(x) do\n    case x do\n      {i} -> :a\n      y when y > {i} -> {{:b, y}}\n      _ -> nil\n    end\n  end\n\n" for i in range(n)) + "end\n"
 
