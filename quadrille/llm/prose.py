@@ -15,6 +15,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import table
 from ..syntax import Parsed, language_of, normal, parse_source
 from .common import analyse, current, source_files
 
@@ -125,40 +126,126 @@ def _decide(text: str, v: dict[str, float]) -> str | None:
     return lang
 
 
-def prose_of(path: str | None, content: str | None) -> list[tuple] | None:
-    """(language, characters) of the passages of a valid code file, summed per language; null for a file that does not parse."""
+def decided(paras: list[str]) -> list[tuple[str, str, int]]:
+    """(passage, language, characters) of the paragraphs whose language is decided, and of sentences within a paragraph of another language or none.
+
+    Characters of such a sentence do not count for its paragraph, so none is counted twice.
+    """
+    sentences = [(n, y) for n, x in enumerate(paras) for s in [[y for y in _SENT.split(x) if y and y.strip()]] if len(s) > 1 for y in s]
+    got = languages_of(paras + [y for _, y in sentences])
+    inner: list[list[tuple]] = [[] for _ in paras]
+    for (n, y), lang in zip(sentences, got[len(paras):]):
+        if lang and lang != got[n]:
+            inner[n].append((y, lang, len(y)))
+    out = []
+    for x, lang, own in zip(paras, got, inner):
+        if lang:
+            out.append((x, lang, len(x) - sum(y[2] for y in own)))
+        out.extend(own)
+    return out
+
+
+def _paragraphs(path: str | None, content: str | None) -> tuple[list[str], int] | None:
+    """Passages of a valid code file and its length in characters; None for other files."""
     lang = language_of(path)
     if lang is None:
         return None
     text = normal(content)
     p = parse_source(lang, text)
-    if p.fault is not None:
-        return None
-    paras = passages(p, text)
-    found: dict[str, int] = {}
-    sentences = [y for x in paras for s in [[y for y in _SENT.split(x) if y and y.strip()]] if len(s) > 1 for y in s]
-    got = languages_of(paras + sentences)
-    for x, lang in zip(paras, got):
-        if lang:
-            found[lang] = found.get(lang, 0) + len(x)
-    inner: dict[str, int] = {}
-    for x, lang in zip(sentences, got[len(paras):]):
-        if lang and lang not in found:  # a sentence within a passage of another language
-            inner[lang] = inner.get(lang, 0) + len(x)
-    return sorted((found | inner).items())
+    return None if p.fault is not None else (passages(p, text), len(text))
+
+
+def _summed(found: list[tuple]) -> list[tuple[str, int]]:
+    out: dict[str, int] = {}
+    for _, lang, n in found:
+        out[lang] = out.get(lang, 0) + n
+    return sorted(out.items())
+
+
+def prose_of(path: str | None, content: str | None) -> list[tuple] | None:
+    """(language, characters) of the passages of a valid code file, summed per language; null for a file that does not parse."""
+    got = _paragraphs(path, content)
+    return got and _summed(decided(got[0]))
+
+
+def shares_of(path: str | None, content: str | None) -> list[tuple] | None:
+    """(language, characters, share of the file's characters) of a valid code file."""
+    got = _paragraphs(path, content)
+    return got and [(lang, n, n / got[1]) for lang, n in _summed(decided(got[0]))]
+
+
+def passages_of(path: str | None, content: str | None) -> list[tuple] | None:
+    """(passage, language, characters, share of the file's characters) of a valid code file."""
+    got = _paragraphs(path, content)
+    return got and [(x, lang, n, n / got[1]) for x, lang, n in decided(got[0])]
+
+
+def value_passages(_: str | None, value: str | None) -> list[tuple]:
+    """(passage, language, characters) of the text of an attribute."""
+    return decided([x for x in _PARA.split(normal(value)) if x and x.strip()])
 
 
 def file_languages(files: DataFrame) -> DataFrame:
-    """(file_id, lang, chars, share) for each natural language in the current state of each valid code file."""
+    """(file_id, lang, chars, share) for each natural language in the current state of each valid code file; share is that of the file's decided prose."""
     rows = analyse(files, prose_of, "array<struct<lang string, chars bigint>>")
     x = current(rows, "result").select("file_id", F.explode("result").alias("r"), F.aggregate("result", F.lit(0).cast("bigint"), lambda a, y: a + y["chars"]).alias("total"))
     return x.select("file_id", "r.lang", "r.chars", (F.col("r.chars") / F.col("total")).alias("share"))
 
 
+def file_shares(files: DataFrame) -> DataFrame:
+    """(file_id, lang, chars, share) as file_languages, but share is that of all characters of the file."""
+    rows = analyse(files, shares_of, "array<struct<lang string, chars bigint, share double>>")
+    return current(rows, "result").select("file_id", F.explode("result").alias("r")).select("file_id", "r.*")
+
+
+def file_passages(files: DataFrame) -> DataFrame:
+    """(file_id, passage, lang, chars, share) of each passage with a decided language."""
+    rows = analyse(files, passages_of, "array<struct<passage string, lang string, chars bigint, share double>>")
+    return current(rows, "result").select("file_id", F.explode("result").alias("r")).select("file_id", "r.*")
+
+
+def _current_values(attributes: DataFrame, files: DataFrame) -> DataFrame:
+    """(attr_id, of, size, result) of the attributes that were read from the current state of their file; ``of`` is the file."""
+    newest = files.groupBy("file_id").agg(F.max("mtime").alias("file_mtime"))
+    a = attributes.filter(F.col("attr_value").isNotNull()).join(newest, ["file_id", "file_mtime"], "left_semi")
+    a = a.select(F.col("attr_id").alias("file_id"), F.col("file_mtime").alias("mtime"), F.lit("").alias("path"), F.col("attr_value").alias("content"), F.col("file_id").alias("of"), F.length("attr_value").cast("bigint").alias("size"))
+    rows = analyse(a, value_passages, "array<struct<passage string, lang string, chars bigint>>", None, "of bigint, size bigint")
+    return current(rows, "of", "size", "result").withColumnRenamed("file_id", "attr_id")
+
+
+def attribute_passages(attributes: DataFrame, files: DataFrame) -> DataFrame:
+    """(attr_id, file_id, passage, lang, chars, share) of the current attribute values; share is that of the value."""
+    x = _current_values(attributes, files).select("attr_id", F.col("of").alias("file_id"), "size", F.explode("result").alias("r"))
+    return x.select("attr_id", "file_id", "r.*", (F.col("r.chars") / F.col("size")).alias("share"))
+
+
+def attribute_shares(attributes: DataFrame, files: DataFrame) -> DataFrame:
+    """(file_id, lang, chars, share) of the current attribute values of each file; share is that of all their characters."""
+    parts = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("lang"), F.col("size").alias("chars"))), F.transform("result", lambda r: F.struct(r["lang"].alias("lang"), r["chars"].alias("chars"))))
+    sums = _current_values(attributes, files).select(F.col("of").alias("file_id"), F.explode(parts).alias("p")).groupBy("file_id", "p.lang").agg(F.sum("p.chars").alias("chars"))
+    each = sums.groupBy("file_id").agg(F.max(F.when(F.col("lang").isNull(), F.col("chars"))).alias("total"), F.collect_list(F.when(F.col("lang").isNotNull(), F.struct("lang", "chars"))).alias("r"))
+    return each.select("file_id", "total", F.explode("r").alias("r")).select("file_id", "r.lang", "r.chars", (F.col("r.chars") / F.col("total")).alias("share"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return file_languages(source_files(spark, folder)).filter(F.col("lang") != "en").select("file_id", "lang")
 
 
 def p3_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Language shares of each file, English included."""
-    return file_languages(source_files(spark, folder))
+    return file_shares(source_files(spark, folder))
+
+
+def p3_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """The passages themselves with their language."""
+    return file_passages(source_files(spark, folder))
+
+
+def p3_attributes(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages of attribute values."""
+    return attribute_passages(table(spark, folder, "module_attribute"), source_files(spark, folder))
+
+
+def p3_attribute_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Language shares of the attribute values of each file."""
+    return attribute_shares(table(spark, folder, "module_attribute"), source_files(spark, folder))

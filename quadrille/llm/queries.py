@@ -9,6 +9,9 @@ QUERIES = {
     "p2_rates": parse_errors.p2_rates,
     "p3_found": prose.p3_found,
     "p3_shares": prose.p3_shares,
+    "p3_passages": prose.p3_passages,
+    "p3_attributes": prose.p3_attributes,
+    "p3_attribute_shares": prose.p3_attribute_shares,
     "p4_found": origin.p4_found,
     "p4_kinds": origin.p4_kinds,
     "p5_found": docpairs.p5_found,

@@ -44,6 +44,19 @@ def test_prose_in_code(spark):
     assert all(abs(r.s - 1) < 1e-9 for r in shares)
 
 
+def test_passages_and_shares_of_files(spark):
+    de, en = "Der Prozess löscht die alten Zeilen nach jedem Lauf.", "The cache drops every path before the next run."
+    code = f"# {de}\n" + "x = 1\n" * 500
+    mixed = f"# {en} {en} {en} {de}\n"
+    f = files(spark, [(1, "p", "a.py", code, 2), (1, "p", "a.py", f"# {en}", 1), (2, "p", "b.py", mixed, 1), (3, "p", "c.py", "", 1)])
+    got = {(r.file_id, r.lang): (r.chars, r.share) for r in prose.file_shares(f).collect()}
+    assert got == {(1, "de"): (len(de), len(de) / len(code)), (2, "de"): (len(de), len(de) / len(mixed)), (2, "en"): (3 * len(en) + 3, (3 * len(en) + 3) / len(mixed))}
+    assert {(r.file_id, r.passage, r.lang, r.chars) for r in prose.file_passages(f).collect()} == {(1, de, "de", len(de)), (2, mixed[2:-1], "en", 3 * len(en) + 3), (2, de, "de", len(de))}
+    a = spark.createDataFrame([(10, 1, de, 2), (10, 1, de, 2), (11, 1, "false", 2), (12, 1, en, 1), (13, 2, None, 1), (14, 2, f"{en}\n\n{de}", 1)], "attr_id bigint, file_id bigint, attr_value string, file_mtime bigint")
+    assert {(r.attr_id, r.file_id, r.passage, r.lang, r.share) for r in prose.attribute_passages(a, f).collect()} == {(10, 1, de, "de", 1.0), (14, 2, en, "en", len(en) / (len(en + de) + 2)), (14, 2, de, "de", len(de) / (len(en + de) + 2))}
+    assert {(r.file_id, r.lang): r.share for r in prose.attribute_shares(a, f).collect()} == {(1, "de"): len(de) / (len(de) + 5), (2, "en"): len(en) / (len(en + de) + 2), (2, "de"): len(de) / (len(en + de) + 2)}
+
+
 @pytest.mark.parametrize(
     "doc,name,empty",
     [("TODO", "f", True), ("", "f", True), (None, "f", True), ("n/a", "f", True), ("Function `load_it` with 3 parameters.", "load_it", True), ("load_it/2", "load_it", True), ("Loads it.", "load_it", True), ("Load it.", "loadIt", True), ("Loadit.", "loadIt", True), ("待补充", "f", True), ("Doku folgt.", "f", True), ("...", "f", True), ("## Examples\n\n    iex> f(1)\n    :ok\n", "f", True), ("Counts from one.", "f", False), ("Not thread-safe!", "f", False), ("Never raises.", "f", False), ("图构建器用一次扫描删除空白的字段。", "f", False), ("Load it.", "store", False)],
