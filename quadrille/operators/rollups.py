@@ -80,6 +80,13 @@ def resume(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return todo.join(done.select(key).distinct(), key, "left_anti")
 
 
+def shingles(docs: DataFrame, key: str, text: str, width: int = 5) -> DataFrame:
+    """(key, t) with 64-bit hashes of the runs of ``width`` words of each text; a shorter text is one run, one without words has none."""
+    words = docs.select(key, F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}_]+"), lambda x: x != "").alias("_w"))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - (width - 1), F.lit(1))), lambda i: F.xxhash64(F.concat_ws(" ", F.slice("_w", i, width))))
+    return words.filter(F.size("_w") > 0).select(key, runs.alias("t"))
+
+
 def jaccard_links(docs: DataFrame, key: str, tokens: str, threshold: float, min_size: int = 1) -> DataFrame:
     """(a, b, similarity) of sets with a Jaccard similarity of at least ``threshold``, a < b.
 

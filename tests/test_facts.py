@@ -171,3 +171,29 @@ def test_long_texts_are_whole(spark):
     assert facts.structs(n).first().fields == [f"field_{i}" for i in range(500)]
     s = facts.supervisors(n).first()
     assert (s.strategy, s.max_restarts) == ("rest_for_one", 9)
+
+
+def test_similar_documents_equal_brute_force(spark, tmp_path):
+    import random
+    import re
+
+    from quadrille.queries import QUERIES
+
+    rnd = random.Random(2)
+    base = [[f"w{rnd.randrange(50)}é" for _ in range(60)] for _ in range(4)]
+    texts = [None, "", "!?", "short text", "Short, text!", *(" ".join(b) for b in base for _ in range(2))]
+    for b in base * 6:
+        t = list(b)
+        t[rnd.randrange(60)] = "changed"
+        texts.append(", ".join(t))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sets = {}
+    for i, t in enumerate(texts):
+        w = re.findall(r"\w+", (t or "").lower())
+        if w:
+            sets.setdefault(frozenset(tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))), []).append(i)
+    want = {(v[0], i) for v in sets.values() for i in v[1:]}
+    reps = sorted((v[0], k) for k, v in sets.items())
+    want |= {(a, b) for n, (a, x) in enumerate(reps) for b, y in reps[n + 1:] if len(x & y) / len(x | y) >= 0.8}
+    got = [(r.a, r.b) for r in QUERIES["similar_documents"](spark, str(tmp_path)).collect()]
+    assert len(want) > 20 and sorted(got) == sorted(want)
