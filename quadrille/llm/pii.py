@@ -231,7 +231,7 @@ def decide_names(found: DataFrame) -> DataFrame:
     cand = cand.join(known, "_id", "left").withColumn("known", F.coalesce("known", F.lit(False)) | F.col("near"))
     # disclosure of phrases: share of their candidates that hold such words
     sides = cand.filter(F.length("value") > 0).select("_id", "value", "known", F.explode(F.array(F.concat(F.lit("<"), "left"), F.concat(F.lit(">"), "right"), F.concat(F.lit("<"), "left", F.lit(">"), "right"))).alias("phrase")).filter(F.col("phrase").rlike(r"\p{L}{2,}"))
-    per_phrase = sides.groupBy("phrase").agg(F.approx_count_distinct("value").alias("n"), F.approx_count_distinct(F.when(F.col("known"), F.col("value"))).alias("s"))
+    per_phrase = sides.groupBy("phrase", "value").agg(F.max("known").alias("known")).groupBy("phrase").agg(F.count("*").alias("n"), F.count_if("known").alias("s"))
     strong = per_phrase.filter((F.col("s") >= MIN_SUPPORT) & (F.col("s") >= F.col("n") * PHRASE_SHARE)).select("phrase", (F.col("s") / F.col("n")).alias("share"))
     in_phrase = sides.join(strong, "phrase").groupBy("_id").agg(F.max("share").alias("share"))
     out = cand.join(in_phrase, "_id", "left").filter(F.col("near") | F.col("share").isNotNull())

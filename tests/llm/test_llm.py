@@ -198,3 +198,10 @@ def test_names_by_co_occurrence(spark):
 def test_queries_are_named_by_problem():
     assert all(k.split("_")[0][1:].isdigit() for k in queries.QUERIES)
     assert common.CODE == ("elixir", "erlang", "javascript", "python")
+
+
+def test_phrases_are_counted_exactly(spark):
+    rows = [("name", j * 1000 + i, "name", f"Aa{j}x{i} Bb{j}x{i}", f"thanks p{c}", "⏎", i < 351, 0, 0, 0) for j, c in enumerate("abcdefgh") for i in range(1000)]
+    found = spark.createDataFrame(rows, "what string, doc_id bigint, kind string, value string, left string, right string, near boolean, skip bigint, low bigint, cap bigint")
+    got = pii.decide_names(found).groupBy("left").count().collect()
+    assert {(r.left, r["count"]) for r in got} == {(f"thanks p{c}", 1000) for c in "abcdefgh"}
