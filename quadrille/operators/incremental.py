@@ -1,20 +1,14 @@
-"""Processing only new or changed records, and the differences of full snapshots.
-
-Both work on pairs of consecutive listings of one source.  The predecessor of each listing comes from ``previous``, which slices each source's
-history by time so that a source with a third of all listings is no single window partition.  Each listing row is then sent once to its own
-listing and once to its successor, and one grouped aggregation (pre-aggregated before its shuffle) compares them; equality is null-safe since a
-null is a grouping value of its own.
-"""
+"""Problems 1 and 7 over the tables: the history of all runs through the ledger, and of all complete listings through the snapshot index."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+import uuid
 
-from ..session import table
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Seconds of history in one slice of ``previous``: a week.
-SLICE = 7 * 86_400
+from ..session import checkpoint_dir, table
+from ..streaming.ledger import ListingLedger, SnapshotIndex
 
 
 def clean_path(path: Column) -> Column:
@@ -22,94 +16,50 @@ def clean_path(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, "/+", "/"), r"^(?:\./)+", "")
 
 
-def previous(items: DataFrame, source: str, order: str, item: str, out: str = "prev_item", slice_width: int = SLICE) -> DataFrame:
-    """``items`` with the ``item`` that precedes each by ``order`` within its ``source`` (null for the first).
-
-    One row per item is expected; ties of ``order`` are broken by ``item``.  Null orders sort first.  The lag is taken within slices of
-    ``slice_width``; the first row of a slice takes the last item of the source's latest earlier slice, found over one row per slice.
-    """
-    s = items.withColumn("_slice", F.floor(F.col(order) / F.lit(slice_width)))
-    w = Window.partitionBy(source, "_slice").orderBy(F.col(order).asc_nulls_first(), F.col(item).asc_nulls_first())
-    inner = s.withColumn("_lag", F.lag(item).over(w)).withColumn("_first", F.row_number().over(w) == 1)
-    last = s.groupBy(source, "_slice").agg(F.max(F.struct(F.col(order), F.col(item))).alias("_last"))
-    carry = last.select(F.col(source).alias("_src"), F.col("_slice").alias("_s"), F.lag(F.col(f"_last.{item}")).over(Window.partitionBy(source).orderBy(F.col("_slice").asc_nulls_first())).alias("_carry"))
-    joined = inner.join(carry, inner[source].eqNullSafe(carry["_src"]) & inner["_slice"].eqNullSafe(carry["_s"]), "left")
-    return joined.withColumn(out, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag"))).drop("_slice", "_lag", "_first", "_src", "_s", "_carry")
-
-
-def _pairs(listing: DataFrame, links: DataFrame, key: str, version: list[str]) -> DataFrame:
-    """(target, key, is_new, version): each row under its own listing and under the listing that follows it.
-
-    ``links`` has (listing, target_new, target_old), at most one row per listing.
-    """
-    j = listing.join(links, "listing")
-    side = F.array(F.struct(F.col("target_new").alias("target"), F.lit(True).alias("is_new")), F.struct(F.col("target_old").alias("target"), F.lit(False).alias("is_new")))
-    return j.select(key, *version, F.explode(F.filter(side, lambda x: x["target"].isNotNull())).alias("_t")).select("_t.target", "_t.is_new", key, *version)
-
-
-def unprocessed(listing: DataFrame, links: DataFrame, key: str, version: list[str]) -> DataFrame:
-    """(target, key): pairs of key and version of the target's own listing that its ledger, the listing before it, does not hold.
+def _folder(spark: SparkSession, name: str) -> str:
+    """A store of one query's own, in the shared folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-    Repeated rows count once.  A target without an earlier listing must not occur in ``links``.
-    """
-    p = _pairs(listing, links, key, version)
-    g = p.groupBy("target", key, *version).agg(F.max("is_new").alias("own"), F.max(~F.col("is_new")).alias("ledger"))
-    return g.filter(F.col("own") & ~F.col("ledger")).select("target", key).distinct()
 
-
-def fingerprint(cols: list[str]) -> Column:
-    """64-bit hash of a version; null differs from every value and keeps its place."""
-    return F.xxhash64(*[F.col(c) for c in cols], *[F.col(c).isNull() for c in cols])
-
-
-def snapshot_changes(listing: DataFrame, links: DataFrame, key: str, version: list[str]) -> DataFrame:
-    """(target, key, change) with change = added, removed or changed, between each target listing and the one before it.
-
-    The side before the target is its key-to-hash index; rows of the target probe it by key.  Of repeated keys in one listing the greatest version
-    hash counts on both sides.
-    """
-    p = _pairs(listing.withColumn("_h", fingerprint(version)), links, key, ["_h"])
-    g = p.groupBy("target", key).agg(F.max(F.when(F.col("is_new"), F.col("_h"))).alias("new_h"), F.max(F.when(~F.col("is_new"), F.col("_h"))).alias("old_h"))
-    change = F.when(F.col("old_h").isNull(), "added").when(F.col("new_h").isNull(), "removed").when(F.col("old_h") != F.col("new_h"), "changed")
-    return g.withColumn("change", change).filter(F.col("change").isNotNull()).select("target", key, "change")
-
-
-def completed_links(log: DataFrame) -> DataFrame:
-    """(listing, target_new, target_old) of runs with a ``completed`` row; runs without an earlier completed run get no target of their own."""
-    done = log.filter(F.col("status") == "completed").groupBy("run_id").agg(*[F.max(c).alias(c) for c in ("checkout_id", "state_ts", "snapshot_id")])
-    pairs = previous(done.withColumn("_item", F.struct("run_id", "snapshot_id")), "checkout_id", "state_ts", "_item")
-    pairs = pairs.filter(F.col("prev_item").isNotNull()).select("run_id", "snapshot_id", F.col("prev_item.snapshot_id").alias("prev_snapshot"))
-    both = pairs.select(F.col("snapshot_id").alias("listing"), F.col("run_id").alias("target_new"), F.lit(None).cast("bigint").alias("target_old")).unionByName(
-        pairs.select(F.col("prev_snapshot").alias("listing"), F.lit(None).cast("bigint").alias("target_new"), F.col("run_id").alias("target_old"))
-    )
-    return both.groupBy("listing").agg(F.max("target_new").alias("target_new"), F.max("target_old").alias("target_old"))
+def completed_runs(log: DataFrame) -> DataFrame:
+    """(source, run, listing, at) of the runs that have a ``completed`` row, one row each; a run without a listing is none."""
+    done = log.filter(F.col("status") == "completed").groupBy(F.col("run_id").alias("run")).agg(F.max("checkout_id").alias("source"), F.max("snapshot_id").alias("listing"), F.max("state_ts").alias("at"))
+    return done.filter(F.col("listing").isNotNull())
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    """(run_id, path) that each completed run has to handle; see TESTDATA.md."""
+    """(run_id, path) that each completed run has to handle; see TESTDATA.md.  The whole history goes through a fresh ledger and is committed."""
     log = table(spark, folder, "analysis_run").select("run_id", "checkout_id", "snapshot_id", "state_ts", "status")
-    listing = table(spark, folder, "file_state").select(F.col("snapshot_id").alias("listing"), clean_path(F.col("path")).alias("path"), "mtime", "size")
-    return unprocessed(listing, completed_links(log), "path", ["mtime", "size"]).select(F.col("target").alias("run_id"), "path")
+    listings = table(spark, folder, "file_state").select(F.col("snapshot_id").alias("listing"), clean_path(F.col("path")).alias("path"), "mtime", "size")
+    ledger = ListingLedger(spark, _folder(spark, "ledger"), ["path"], ["mtime", "size"])
+    batch = ledger.take(completed_runs(log), listings, first=False)
+    ledger.commit()
+    return batch.select(F.col("run").alias("run_id"), "path").distinct()
 
 
-def complete_links(log: DataFrame, listing: DataFrame) -> DataFrame:
-    """(listing, target_new, target_old) over the listings that hold as many distinct paths as their run says."""
-    runs = log.groupBy("snapshot_id").agg(*[F.max(c).alias(c) for c in ("checkout_id", "state_ts", "file_count")])
-    held = listing.select("listing", "path").distinct().groupBy("listing").agg(F.count("*").alias("n"))
-    whole = runs.join(held, runs["snapshot_id"] == held["listing"], "left").filter(F.coalesce("n", F.lit(0)) == F.col("file_count")).select("snapshot_id", "checkout_id", "state_ts")
-    pairs = previous(whole, "checkout_id", "state_ts", "snapshot_id").filter(F.col("prev_item").isNotNull())
-    both = pairs.select(F.col("snapshot_id").alias("listing"), F.col("snapshot_id").alias("target_new"), F.lit(None).cast("bigint").alias("target_old")).unionByName(
-        pairs.select(F.col("prev_item").alias("listing"), F.lit(None).cast("bigint").alias("target_new"), F.col("snapshot_id").alias("target_old"))
-    )
-    return both.groupBy("listing").agg(F.max("target_new").alias("target_new"), F.max("target_old").alias("target_old"))
+def _advanced(spark: SparkSession, folder: str) -> tuple[SnapshotIndex, DataFrame]:
+    """The index with all listings staged, and the changes between consecutive complete ones of each checkout."""
+    log = table(spark, folder, "analysis_run").groupBy(F.col("snapshot_id").alias("snapshot")).agg(F.max("checkout_id").alias("source"), F.max("state_ts").alias("at"), F.max("file_count").alias("file_count"))
+    rows = table(spark, folder, "file_state").select(F.col("snapshot_id").alias("snapshot"), clean_path(F.col("path")).alias("path"), "mtime", "size")
+    index = SnapshotIndex(spark, _folder(spark, "index"), "path", ["mtime", "size"])
+    index.stage(rows.join(log.select("snapshot", "source"), "snapshot"), sized_by=rows)
+    # a listing without a row is complete if its run says so
+    whole = log.join(index.counts(), "snapshot", "left").filter(F.coalesce("keys", F.lit(0)) == F.col("file_count"))
+    return index, index.advance(whole.select("source", "snapshot", "at"), first=False)
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    """(snapshot_id, path, change) between consecutive complete listings of each checkout; see TESTDATA.md."""
-    log = table(spark, folder, "analysis_run").select("snapshot_id", "checkout_id", "state_ts", "file_count")
-    listing = table(spark, folder, "file_state").select(F.col("snapshot_id").alias("listing"), clean_path(F.col("path")).alias("path"), "mtime", "size")
-    out = snapshot_changes(listing, complete_links(log, listing), "path", ["mtime", "size"])
-    return out.select(F.col("target").alias("snapshot_id"), "path", "change")
+    """(snapshot_id, path, change) between consecutive complete listings of each checkout; see TESTDATA.md.  The last ones become the index."""
+    index, changes = _advanced(spark, folder)
+    index.swap()
+    return changes.select(F.col("snapshot").alias("snapshot_id"), "path", "change")
+
+
+def p7_values(spark: SparkSession, folder: str) -> DataFrame:
+    """The changes with what was there before and after; the values are fetched for changed paths only."""
+    index, changes = _advanced(spark, folder)
+    out = index.fetch(changes)
+    return out.select(F.col("snapshot").alias("snapshot_id"), "path", "change", F.col("old.mtime").alias("old_mtime"), F.col("old.size").alias("old_size"), F.col("new.mtime").alias("new_mtime"), F.col("new.size").alias("new_size"))
 
 
 _CLEAN_SQL = r"regexp_replace(regexp_replace(path, '/+', '/', 'g'), '^(\./)+', '')"
@@ -134,4 +84,6 @@ FROM new FULL JOIN old ON new.snapshot_id = old.snapshot_id AND new.path = old.p
 WHERE old.snapshot_id IS NULL OR new.snapshot_id IS NULL OR new.mtime IS DISTINCT FROM old.mtime OR new.size IS DISTINCT FROM old.size""",
 }
 
-QUERIES = {"p1_found": p1_found, "p7_found": p7_found}
+ORACLE["p7_values"] = ORACLE["p7_found"].replace("'changed' END AS change", "'changed' END AS change, old.mtime AS old_mtime, old.size AS old_size, new.mtime AS new_mtime, new.size AS new_size")
+
+QUERIES = {"p1_found": p1_found, "p7_found": p7_found, "p7_values": p7_values}
