@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import terms as T
-from ..session import checkpoint_dir
+from ..session import stored
 
 QUADS = f"g string, s {T.TERM}, p string, o {T.TERM}"
 
@@ -37,6 +37,8 @@ def bind(df: DataFrame, slots: list[tuple[str, tuple]]) -> DataFrame:
 class QuadGraph:
     """Statements in a DataFrame; duplicates are removed when statements are added, never at read."""
 
+    one_row_per_subject = False
+
     def __init__(self, quads: DataFrame):
         self.quads = quads
         self.spark = quads.sparkSession
@@ -45,17 +47,31 @@ class QuadGraph:
         q = self.quads.select("s", T.iri(F.col("p")).alias("p"), "o")
         return bind(q, [("s", s), ("p", p), ("o", o)])
 
-    def star(self, s, pairs) -> DataFrame:
-        """Patterns with one subject: a join of one filtered scan per predicate."""
-        df = None
-        for p, o in pairs:
-            one = bind(self.quads.filter(F.col("p") == p).select("s", "o"), [("s", s), ("o", o)])
-            if df is None:
-                df = one
-            else:
-                shared = [c for c in df.columns if c in one.columns]
-                df = df.join(one, shared) if shared else df.crossJoin(one.limit(1))
-        return df
+    def star(self, s, pairs, bounds=()) -> DataFrame:
+        """Patterns with one subject: a join by the subject of one filtered scan per predicate; a pattern that binds nothing more is a semi join.
+
+        ``bounds`` are conditions that a query states anyway; statements have no typed columns to use them on.
+        """
+        quads, subject = self.quads, s
+        if s[0] != "var":
+            k, v, dt, lang = T.python_term(s)
+            quads = quads.filter((F.col("s.kind") == k) & (F.col("s.value") == v) & (F.col("s.dt") == dt) & (F.col("s.lang") == lang))
+            subject = ("var", "_subject")
+        frames = [bind(quads.filter(F.col("p") == p).select("s", "o"), [("s", subject), ("o", o)]) for p, o in pairs]
+        frames.sort(key=lambda f: len(f.columns) == 1)  # those that only test come last
+        df = frames[0] if len(frames[0].columns) > 1 else frames[0].distinct()
+        for one in frames[1:]:
+            df = df.join(one, [c for c in df.columns if c in one.columns], "inner" if len(one.columns) > 1 else "left_semi")
+        if s[0] == "var":
+            return df
+        rest = [c for c in df.columns if c != "_subject"]
+        return df.select(*[F.col(f"`{c}`") for c in rest]) if rest else df.select(F.lit(True).alias("_unit")).limit(1)
+
+    def with_optional(self, cls: str, path: str) -> DataFrame:
+        """(focus, value) of the instances of a class, with a null value where they have none."""
+        focus = self.star(("var", "focus"), [(T.RDF_TYPE, ("iri", cls))])
+        values = self.quads.filter(F.col("p") == path).select(F.col("s").alias("focus"), F.col("o").alias("value"))
+        return focus.join(values, "focus", "left")
 
     def closure(self, s, p: str, o, reflexive: bool) -> DataFrame:
         edges = self.quads.filter(F.col("p") == p).select(F.col("s").alias("a"), F.col("o").alias("b"))
@@ -88,22 +104,20 @@ class QuadGraph:
         return self.quads.filter(F.col("s.value") == value)
 
 
-def reachable(edges: DataFrame, reflexive: bool = False, max_rounds: int = 64) -> DataFrame:
-    """(a, b) for every path of edges (a, b), by doubling: round k holds the paths of up to 2^k edges.
+def reachable(edges: DataFrame, reflexive: bool = False) -> DataFrame:
+    """(a, b) for every path of edges (a, b).
 
-    Works with cycles; each round is checkpointed, which cuts the lineage and survives lost executors.  ``max_rounds`` bounds paths at 2^64 edges.
+    Works with cycles.  Each round joins only the pairs that the last round found, with all known ones on both sides, so that path lengths double and
+    no pair is extended twice; it ends when a round finds none.  Each round is written to the shared folder, which cuts the lineage and survives lost
+    executors.
     """
-    checkpoint_dir(edges.sparkSession)
-    edges = edges.select("a", "b").distinct()
-    total = edges.checkpoint()
-    size = total.count()
-    for _ in range(max_rounds):
-        step = total.alias("x").join(total.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b"))
-        total = total.unionByName(step).distinct().checkpoint()
-        grown = total.count()
-        if grown == size:
-            break
-        size = grown
+    edges = stored(edges.select("a", "b").distinct(), "edges")
+    total = newest = edges
+    while newest.take(1):
+        ahead = newest.alias("x").join(total.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b"))
+        behind = total.alias("x").join(newest.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b"))
+        newest = stored(ahead.unionByName(behind).distinct().join(total, ["a", "b"], "left_anti"), "paths")
+        total = total.unionByName(newest)
     if reflexive:
         nodes = edges.select(F.col("a").alias("n")).unionByName(edges.select(F.col("b").alias("n"))).distinct()
         total = total.unionByName(nodes.select(F.col("n").alias("a"), F.col("n").alias("b"))).distinct()
@@ -137,6 +151,10 @@ def materialise(graph: QuadGraph, profile: str = "rdfs") -> QuadGraph:
     return QuadGraph(q.unionByName(more).distinct().withColumn("g", F.lit("")).select("g", "s", "p", "o"))
 
 
+_NUMBERS = ("int", "bigint", "smallint", "tinyint", "double", "float")
+_COMPARE = {"=": lambda a, b: a == b, "<": lambda a, b: a < b, ">": lambda a, b: a > b, "<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b}
+
+
 @dataclass
 class ClassMap:
     """A table read as instances of a class: subject template over the key, a predicate per column, links per foreign key."""
@@ -149,7 +167,9 @@ class ClassMap:
 
 
 class MappedGraph:
-    """Relational tables as a graph; predicates are the column names in the data namespace."""
+    """Relational tables as a graph; predicates are the column names in the data namespace.  A table's key is unique."""
+
+    one_row_per_subject = True
 
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], maps: list[ClassMap], base: str = T.DATA):
         self.spark, self.tables, self.maps, self.base = spark, tables, maps, base
@@ -159,8 +179,11 @@ class MappedGraph:
             for c in tables[m.table].columns:
                 self.by_predicate.setdefault(base + c, []).append(m)
 
+    def key(self, m: ClassMap):
+        return F.expr(m.key_expr) if m.key_expr else F.col(m.key)
+
     def subject(self, m: ClassMap):
-        return self._name(m.table, F.expr(m.key_expr) if m.key_expr else F.col(m.key))
+        return self._name(m.table, self.key(m))
 
     def _name(self, table: str, key) -> F.Column:
         return T.iri(F.concat(F.lit(f"{self.base}{table}/"), key.cast("string")))
@@ -170,32 +193,100 @@ class MappedGraph:
             return self._name(m.links[column], F.col(column))
         return T.typed(F.col(column), dict(self.tables[m.table].dtypes)[column])
 
-    def star(self, s, pairs) -> DataFrame:
-        """One scan of the table that has all predicates of the star; a union over tables where several have."""
+    def _maps(self, pairs) -> list[ClassMap]:
+        """The tables that have all predicates of a star."""
         maps = None
         for p, o in pairs:
             here = [self.by_class[o[1]]] if p == T.RDF_TYPE and o[0] == "iri" and o[1] in self.by_class else self.maps if p == T.RDF_TYPE and o[0] == "var" else self.by_predicate.get(p, []) if p != T.RDF_TYPE else []
             maps = here if maps is None else [m for m in maps if m in here]
+        return maps or []
+
+    def _scan(self, m: ClassMap, pairs, bounds) -> DataFrame:
+        """The table with what the star asks of its typed columns, so that it reaches the scan: no nulls, equal texts, and bounds on variables."""
+        df = self.tables[m.table]
+        types = dict(df.dtypes)
+        for p, o in pairs:
+            if p == T.RDF_TYPE:
+                continue
+            column = p[len(self.base):]
+            df = df.filter(F.col(column).isNotNull())
+            if column in m.links:
+                continue
+            if o[0] == "lit" and o[2] == T.XSD + "string" and types[column] == "string":
+                df = df.filter(F.col(column) == o[1])
+            for var, op, value in bounds if o[0] == "var" else ():
+                if var == o[1] and (isinstance(value, str) if types[column] == "string" else not isinstance(value, str) and types[column] in _NUMBERS):
+                    df = df.filter(_COMPARE[op](F.col(column), F.lit(value)))
+        return df
+
+    def star(self, s, pairs, bounds=()) -> DataFrame:
+        """One scan of the table that has all predicates of the star; a union over tables where several have."""
         frames = []
-        for m in maps or []:
-            df = self.tables[m.table]
+        for m in self._maps(pairs):
             slots, cols = [("_s", s)], [self.subject(m).alias("_s")]
             for i, (p, o) in enumerate(pairs):
-                if p == T.RDF_TYPE:
-                    cols.append(T.constant(("iri", self.base + m.cls)).alias(f"_o{i}"))
-                else:
-                    column = p[len(self.base):]
-                    df = df.filter(F.col(column).isNotNull())
-                    if o[0] == "lit" and o[2] == T.XSD + "string" and dict(df.dtypes)[column] == "string":
-                        df = df.filter(F.col(column) == o[1])  # reaches the scan
-                    cols.append(self.object(m, column).alias(f"_o{i}"))
+                cols.append((T.constant(("iri", self.base + m.cls)) if p == T.RDF_TYPE else self.object(m, p[len(self.base):])).alias(f"_o{i}"))
                 slots.append((f"_o{i}", o))
-            frames.append(bind(df.select(*cols), slots))
+            frames.append(bind(self._scan(m, pairs, bounds).select(*cols), slots))
         if not frames:
             names = [t[1] for t in [s, *[o for _, o in pairs]] if t[0] == "var"]
             return self.spark.createDataFrame([], ", ".join(f"`{n}` {T.TERM}" for n in dict.fromkeys(names)) or "_unit boolean")
         return reduce(lambda a, b: a.unionByName(b), frames)
 
+    def basic(self, stars: list[tuple], bounds=()) -> DataFrame | None:
+        """Stars (subject, pairs) joined by the tables' own key columns, with terms built from what is left at the end.
+
+        None where this cannot say it: a star over several tables, a shared variable whose columns differ in kind, or a constant subject or link.
+        """
+        frames = []
+        for s, pairs in stars:
+            maps = self._maps(pairs)
+            if len(maps) != 1 or s[0] != "var":
+                return None
+            m = maps[0]
+            types = dict(self.tables[m.table].dtypes)
+            df, held, equal = self._scan(m, pairs, bounds), {s[1]: (("iri", m.table), self.key(m))}, []
+            for p, o in pairs:
+                column = p[len(self.base):]
+                if p == T.RDF_TYPE:
+                    if o[0] == "var":
+                        return None
+                elif o[0] == "var":
+                    kind = ("iri", m.links[column]) if column in m.links else ("lit", types[column])
+                    if o[1] in held:
+                        if held[o[1]][0] != kind:
+                            return None
+                        equal.append(held[o[1]][1] == F.col(column))
+                    else:
+                        held[o[1]] = (kind, F.col(column))
+                elif o[0] == "lit" and column not in m.links:
+                    equal.append(self.object(m, column) == T.constant(o))
+                else:
+                    return None
+            for e in equal:
+                df = df.filter(e)
+            frames.append((df.select(*[c.alias(v) for v, (_, c) in held.items()]), {v: k for v, (k, _) in held.items()}))
+        df, kinds = frames.pop(0)
+        while frames:
+            k = next((i for i, (_, other) in enumerate(frames) if other.keys() & kinds.keys()), None)
+            if k is None:
+                return None
+            one, other = frames.pop(k)
+            shared = sorted(other.keys() & kinds.keys())
+            if any(other[v] != kinds[v] or kinds[v][1] in ("double", "float") for v in shared):  # equal numbers may differ as texts
+                return None
+            df, kinds = df.join(one, shared), {**kinds, **other}
+        return df.select(*[(self._name(k[1], F.col(f"`{v}`")) if k[0] == "iri" else T.typed(F.col(f"`{v}`"), k[1])).alias(v) for v, k in kinds.items()])
+
+    def with_optional(self, cls: str, path: str) -> DataFrame:
+        """(focus, value) of the instances of a class, with a null value where they have none: one scan of two columns."""
+        m = self.by_class.get(cls)
+        if m is None:
+            return self.spark.createDataFrame([], f"focus {T.TERM}, value {T.TERM}")
+        column = path[len(self.base):]
+        value = T.constant(("iri", cls)) if path == T.RDF_TYPE else self.object(m, column) if m in self.by_predicate.get(path, []) else F.lit(None).cast(T.TERM)
+        return self.tables[m.table].select(self.subject(m).alias("focus"), value.alias("value"))
+
     def quads(self, only: list[str] | None = None) -> DataFrame:
         """All statements, by one pass over each table."""
         out = []

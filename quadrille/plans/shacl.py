@@ -1,7 +1,8 @@
 """SHACL shapes compiled to violation plans.
 
 A shape has targets and constraint components; each component becomes one DataFrame of violations (focus, path, component, value, message,
-severity).  ``validate`` unions them.  Values of a path are joined once per shape and path; counts keep focus nodes without values (left join).
+severity).  ``validate`` unions them.  A class and a path are asked of the graph together: over mapped tables that is one scan of the columns needed,
+over statements a join.  Counts keep focus nodes without values.  Shapes that refer to themselves are refused.
 ``compat`` keeps two habits of the modelled engine: a property-level minInclusive is not checked, and patterns over 500 characters are skipped.
 """
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import terms as T
 
 RESULT = f"shape string, focus {T.TERM}, path string, component string, value {T.TERM}, message string, severity string"
-MAX_PATTERN, MAX_DEPTH = 500, 50
+MAX_PATTERN = 500
 
 
 @dataclass
@@ -63,30 +64,57 @@ class Shape:
     message: str | None = None
 
 
-class Validator:
-    def __init__(self, quads: DataFrame, shapes: list[Shape], compat: bool = False):
-        self.quads, self.shapes, self.compat = quads, {s.name: s for s in shapes}, compat
-        self.order = shapes
-        self.spark = quads.sparkSession
+class Focus:
+    """The focus nodes of a shape: instances by direct type, and named nodes whether or not they occur in the data."""
 
-    def targets(self, shape: Shape) -> DataFrame:
-        """Focus nodes: instances by direct type, and named nodes whether or not they occur in the data."""
-        parts = []
-        if shape.target_classes:
-            q = self.quads.filter((F.col("p") == T.RDF_TYPE) & F.col("o.value").isin(*shape.target_classes))
-            parts.append(q.select(F.col("s").alias("focus")))
-        if shape.target_nodes:
-            parts.append(self.spark.createDataFrame([(T.python_term(t),) for t in shape.target_nodes], f"focus {T.TERM}"))
+    def __init__(self, graph, classes: list[str], nodes: list[tuple]):
+        self.graph, self.classes, self.nodes, self.spark = graph, classes, nodes, graph.spark
+
+    def _union(self, parts: list[DataFrame], schema: str) -> DataFrame:
         if not parts:
-            return self.spark.createDataFrame([], f"focus {T.TERM}")
-        return reduce(lambda a, b: a.unionByName(b), parts).distinct()
+            return self.spark.createDataFrame([], schema)
+        df = reduce(lambda a, b: a.unionByName(b), parts)
+        return df if len(parts) == 1 and self.graph.one_row_per_subject else df.distinct()
+
+    def _named(self) -> DataFrame:
+        return self.spark.createDataFrame([(T.python_term(t),) for t in self.nodes], f"focus {T.TERM}")
+
+    def frame(self) -> DataFrame:
+        parts = [self.graph.star(("var", "focus"), [(T.RDF_TYPE, ("iri", c))]) for c in self.classes]
+        return self._union(parts + ([self._named()] if self.nodes else []), f"focus {T.TERM}")
+
+    def values(self, path: str, bounds=()) -> DataFrame:
+        """(focus, value) of a path; ``bounds`` on ``value`` that the caller tests anyway."""
+        parts = [self.graph.star(("var", "focus"), [(T.RDF_TYPE, ("iri", c)), (path, ("var", "value"))], bounds) for c in self.classes]
+        if self.nodes:
+            parts.append(self._named().join(self.graph.star(("var", "focus"), [(path, ("var", "value"))], bounds), "focus"))
+        return self._union(parts, f"focus {T.TERM}, value {T.TERM}")
+
+    def with_optional(self, path: str) -> DataFrame:
+        """(focus, value) with a null value for focus nodes without any."""
+        parts = [self.graph.with_optional(c, path) for c in self.classes]
+        if self.nodes:
+            parts.append(self._named().join(self.graph.star(("var", "focus"), [(path, ("var", "value"))]), "focus", "left"))
+        return self._union(parts, f"focus {T.TERM}, value {T.TERM}")
 
-    def values(self, focus: DataFrame, path: str) -> DataFrame:
-        q = self.quads.filter(F.col("p") == path).select(F.col("s").alias("focus"), F.col("o").alias("value"))
-        return focus.join(q, "focus")
+
+class Validator:
+    """``graph`` is a graph, or statements (g, s, p, o)."""
+
+    def __init__(self, graph, shapes: list[Shape], compat: bool = False):
+        if isinstance(graph, DataFrame):
+            from ..operators.graph import QuadGraph
+
+            graph = QuadGraph(graph)
+        self.graph, self.shapes, self.compat = graph, {s.name: s for s in shapes}, compat
+        self.order = shapes
+        self.spark = graph.spark
+
+    def targets(self, shape: Shape) -> Focus:
+        return Focus(self.graph, shape.target_classes, shape.target_nodes)
 
     def instances(self, cls: str) -> DataFrame:
-        return self.quads.filter((F.col("p") == T.RDF_TYPE) & (F.col("o.value") == cls)).select(F.col("s").alias("value")).distinct()
+        return self.graph.star(("var", "value"), [(T.RDF_TYPE, ("iri", cls))])
 
     # one function per kind of component; each returns rows (focus, path, component, value)
     def _per_value(self, p: Property, node: bool) -> list[tuple[str, Column]]:
@@ -122,11 +150,13 @@ class Validator:
             out.append(("maxExclusive", lit & (number >= p.max_exclusive)))
         return out
 
-    def property_violations(self, focus: DataFrame, p: Property) -> DataFrame:
+    def property_violations(self, focus: Focus, p: Property) -> DataFrame:
         null = F.lit(None).cast(T.TERM)
-        vals = self.values(focus, p.path)
         parts = []
         tests = self._per_value(p, False)
+        limit = {"maxInclusive": (">", p.max_inclusive), "minInclusive": ("<", p.min_inclusive), "minExclusive": ("<=", p.min_exclusive), "maxExclusive": (">=", p.max_exclusive)}
+        # a single limit on numbers reaches the scan
+        vals = focus.values(p.path, [("value", *limit[tests[0][0]])] if len(tests) == 1 and tests[0][0] in limit and not p.cls else ()) if tests or p.cls else None
         if tests:
             # one pass over the values for all of them
             failed = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in tests]), lambda x: x.isNotNull())
@@ -136,12 +166,11 @@ class Validator:
             parts.append(bad.select("focus", F.lit("class").alias("component"), "value"))
         counted = [p.min_count is not None, p.max_count is not None, p.has_value is not None, p.qualified_min is not None]
         if any(counted):
-            v = vals
+            v = focus.with_optional(p.path)
             if p.qualified_class:
-                v = v.join(self.instances(p.qualified_class).withColumn("_in", F.lit(True)), "value", "left")
+                v = v.join(self.instances(p.qualified_class).distinct().withColumn("_in", F.lit(True)), "value", "left")
             hit = F.col("value") == T.constant(p.has_value) if p.has_value else F.lit(None).cast("boolean")
             per = v.groupBy("focus").agg(F.count("value").alias("n"), F.count_if(hit).alias("hits"), F.count_if(F.col("_in")).alias("q") if p.qualified_class else F.lit(0).alias("q"))
-            j = focus.join(per, "focus", "left").fillna(0, ["n", "hits", "q"])
             tests = []
             if p.min_count is not None:
                 tests.append(("minCount", F.col("n") < p.min_count))
@@ -152,14 +181,14 @@ class Validator:
             if p.qualified_min is not None:
                 tests.append(("qualifiedMinCount", F.col("q") < p.qualified_min))
             failed = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in tests]), lambda x: x.isNotNull())
-            parts.append(j.select("focus", F.explode(failed).alias("component"), null.alias("value")))
+            parts.append(per.select("focus", F.explode(failed).alias("component"), null.alias("value")))
         if not parts:
             return self.spark.createDataFrame([], f"focus {T.TERM}, path string, component string, value {T.TERM}")
         out = reduce(lambda a, b: a.unionByName(b), parts)
         return out.select("focus", F.lit(p.path).alias("path"), "component", "value")
 
-    def node_violations(self, focus: DataFrame, p: Property) -> DataFrame:
-        v = focus.withColumn("value", F.col("focus"))
+    def node_violations(self, focus: Focus, p: Property) -> DataFrame:
+        v = focus.frame().withColumn("value", F.col("focus"))
         tests = self._per_value(p, True)
         if p.has_value is not None:
             tests.append(("hasValue", F.col("value") != T.constant(p.has_value)))
@@ -173,28 +202,30 @@ class Validator:
             return self.spark.createDataFrame([], f"focus {T.TERM}, path string, component string, value {T.TERM}")
         return reduce(lambda a, b: a.unionByName(b), parts).select("focus", F.lit(None).cast("string").alias("path"), "component", "value")
 
-    def violations(self, shape: Shape, focus: DataFrame, depth: int = 0) -> DataFrame:
-        """(focus, path, component, value, message) of a shape on given focus nodes."""
+    def violations(self, shape: Shape, focus: Focus, within: tuple = ()) -> DataFrame:
+        """(focus, path, component, value, message) of a shape on given focus nodes; ``within`` names the shapes that refer to it."""
+        if shape.name in within:
+            raise ValueError(f"shape {shape.name} refers to itself")
         parts = [self.property_violations(focus, p).withColumn("message", F.lit(p.message).cast("string")) for p in shape.properties]
         if shape.node:
             parts.append(self.node_violations(focus, shape.node).withColumn("message", F.lit(shape.message).cast("string")))
         logical = [("and", shape.all_of), ("or", shape.any_of), ("xone", shape.one_of), ("not", shape.none_of)]
         for component, names in logical:
-            if not names or depth >= MAX_DEPTH:
+            if not names:
                 continue
             # conformance matrix: how many of the named shapes each focus violates
-            failing = [self.violations(self.shapes[n], focus, depth + 1).select("focus").distinct() for n in names if n in self.shapes]
-            fails = reduce(lambda a, b: a.unionByName(b), failing) if failing else focus.limit(0)
-            per = focus.join(fails.groupBy("focus").agg(F.count("*").alias("f")), "focus", "left").fillna(0, ["f"])
+            failing = [self.violations(self.shapes[n], focus, (*within, shape.name)).select("focus").distinct() for n in names if n in self.shapes]
+            everyone = focus.frame()
+            fails = reduce(lambda a, b: a.unionByName(b), failing) if failing else everyone.limit(0)
+            per = everyone.join(fails.groupBy("focus").agg(F.count("*").alias("f")), "focus", "left").fillna(0, ["f"])
             total = len(names)
             bad = {"and": F.col("f") > 0, "or": F.col("f") == total, "xone": total - F.col("f") != 1, "not": F.col("f") < total}[component]
             parts.append(per.filter(bad).select("focus", F.lit(None).cast("string").alias("path"), F.lit(component).alias("component"), F.col("focus").alias("value"), F.lit(shape.message).cast("string").alias("message")))
         for text in shape.sparql:
-            from ..operators.graph import QuadGraph
             from . import sparql
 
-            rows = sparql.run(QuadGraph(self.quads), text.replace("$this", "?this"), terms=True)
-            hit = focus.join(rows.select(F.col("this").alias("focus")), "focus")
+            rows = sparql.run(self.graph, text.replace("$this", "?this"), terms=True)
+            hit = focus.frame().join(rows.select(F.col("this").alias("focus")), "focus")
             parts.append(hit.select("focus", F.lit(None).cast("string").alias("path"), F.lit("sparql").alias("component"), F.col("focus").alias("value"), F.lit(shape.message).cast("string").alias("message")))
         if not parts:
             return self.spark.createDataFrame([], f"focus {T.TERM}, path string, component string, value {T.TERM}, message string")
@@ -213,13 +244,14 @@ class Validator:
         return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def validate(quads: DataFrame, shapes: list[Shape], compat: bool = False) -> DataFrame:
-    return Validator(quads, shapes, compat).report()
+def validate(graph, shapes: list[Shape], compat: bool = False) -> DataFrame:
+    return Validator(graph, shapes, compat).report()
 
 
 def conforms(report: DataFrame) -> DataFrame:
     """One row: whether no result has severity violation, and the counts by severity."""
-    return report.agg((F.count_if(F.col("severity") == "violation") == 0).alias("conforms"), F.count("*").alias("results"))
+    n = lambda level: F.count_if(F.col("severity") == level)
+    return report.agg((n("violation") == 0).alias("conforms"), F.count("*").alias("results"), n("violation").alias("violations"), n("warning").alias("warnings"), n("info").alias("infos"))
 
 
 def read_shapes(triples: list[tuple]) -> list[Shape]:
@@ -230,12 +262,14 @@ def read_shapes(triples: list[tuple]) -> list[Shape]:
     sh = lambda x: T.SH + x
 
     def items(node) -> list:
-        out, seen = [], 0
-        while node and node != ("iri", T.RDF + "nil") and seen < 100:
+        out, seen = [], set()
+        while node and node != ("iri", T.RDF + "nil"):
+            if node in seen:
+                raise ValueError(f"the list at {node[1]} leads back to itself")
+            seen.add(node)
             d = by_s.get(node, {})
             out += d.get(T.RDF + "first", [])
             node = (d.get(T.RDF + "rest") or [None])[0]
-            seen += 1
         return out
 
     def first(d, name):

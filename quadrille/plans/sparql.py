@@ -603,12 +603,14 @@ class Compiler:
         return simple[name]()
 
     # patterns
-    def group(self, g: Group, df: DataFrame | None = None) -> DataFrame | None:
+    def group(self, g: Group, df: DataFrame | None = None, conditions=()) -> DataFrame | None:
+        """``conditions`` hold for the group's solutions as its own filters do, but are tested by the caller; both let scans read less."""
         filters = [p for p in g.parts if p[0] in ("filter", "exists", "notexists")]
+        bounds = [b for e in [*[p[1] for p in filters if p[0] == "filter"], *conditions] for b in bounds_of(e)]
         for p in g.parts:
             k = p[0]
             if k == "bgp":
-                df = join(df, self.bgp(p[1]))
+                df = join(df, self.bgp(p[1], bounds))
             elif k == "join":
                 df = join(df, self.group(p[1]))
             elif k == "sub":
@@ -619,7 +621,7 @@ class Compiler:
             elif k == "optional":
                 inner = p[1]
                 conditions = [x[1] for x in inner.parts if x[0] == "filter"]
-                right = self.group(Group([x for x in inner.parts if x[0] != "filter"]))
+                right = self.group(Group([x for x in inner.parts if x[0] != "filter"]), conditions=conditions)
                 df = self.left(df, right, conditions)
             elif k == "minus":
                 right = self.group(p[1])
@@ -658,8 +660,8 @@ class Compiler:
 
     def exists(self, df: DataFrame, g: Group, negated: bool) -> DataFrame:
         """Semi or anti join on the shared variables; filters of the pattern that use outer variables become part of the condition."""
-        inner = self.group(Group([x for x in g.parts if x[0] != "filter"]))
         conditions = [x[1] for x in g.parts if x[0] == "filter"]
+        inner = self.group(Group([x for x in g.parts if x[0] != "filter"]), conditions=conditions)
         shared = [c for c in df.columns if c in inner.columns]
         r = inner.select(*[F.col(f"`{c}`").alias("_r_" + c if c in shared else c) for c in inner.columns])
         on = reduce(lambda a, b: a & b, [df[f"`{c}`"] == r[f"`_r_{c}`"] for c in shared], F.lit(True))
@@ -667,7 +669,7 @@ class Compiler:
             on = on & F.coalesce(self.value(e, set(df.columns) | set(inner.columns)).truth(), F.lit(False))
         return df.join(r, on, "left_anti" if negated else "left_semi")
 
-    def bgp(self, triples) -> DataFrame:
+    def bgp(self, triples, bounds=()) -> DataFrame:
         """Stars by subject, joined in an order in which each shares a variable with what came before where possible."""
         stars: dict = {}
         singles = []
@@ -676,7 +678,9 @@ class Compiler:
                 stars.setdefault(s, []).append((p[1], o))
             else:
                 singles.append((s, p, o))
-        frames = [self.graph.star(s, pos) for s, pos in stars.items()] + [self.pattern(*t) for t in singles]
+        raw = getattr(self.graph, "basic", None)
+        whole = raw(list(stars.items()), bounds) if raw and stars else None
+        frames = ([whole] if whole is not None else [self.graph.star(s, pos, bounds) for s, pos in stars.items()]) + [self.pattern(*t) for t in singles]
         df, rest = frames[0], frames[1:]
         while rest:
             k = next((i for i, f in enumerate(rest) if set(f.columns) & set(df.columns)), 0)
@@ -801,6 +805,23 @@ class Compiler:
         return out.filter(F.col("s").isNotNull() & F.col("p").isNotNull() & F.col("o").isNotNull() & (F.col("s.kind") != "lit")).distinct()
 
 
+def bounds_of(e) -> list[tuple[str, str, object]]:
+    """(variable, operator, value) of the comparisons of a variable with a number, or equality with a text, that a filter demands in any case."""
+    if e[0] == "and":
+        return bounds_of(e[1]) + bounds_of(e[2])
+    if e[0] != "cmp" or e[1] == "!=":
+        return []
+    op, a, b = e[1:]
+    if a[0] == "const" and b[0] == "var":
+        a, b, op = b, a, {"<": ">", ">": "<", "<=": ">=", ">=": "<="}.get(op, op)
+    if a[0] != "var" or b[0] != "const" or b[1][0] != "lit":
+        return []
+    text, dt = b[1][1], b[1][2]
+    if dt in T.NUMERIC:
+        return [(a[1], op, int(text) if re.fullmatch(r"[+-]?\d{1,15}", text) else float(text))]
+    return [(a[1], op, text)] if op == "=" and dt == T.XSD + "string" else []
+
+
 def _has_aggregate(e) -> bool:
     return isinstance(e, tuple) and (e[:1] == ("agg",) or any(_has_aggregate(x) for x in e)) or isinstance(e, list) and any(_has_aggregate(x) for x in e)
 

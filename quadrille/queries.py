@@ -48,7 +48,7 @@ _sparql(
     f"SELECT {iri_sql('nation', 'c_nationkey')} AS \"from\", {iri_sql('nation', 's_nationkey')} AS \"to\", count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY 1, 2",
 )
 _sparql("optional_join", ["customer", "orders"], "SELECT ?name ?status WHERE { ?c :c_name ?name . OPTIONAL { ?o :o_custkey ?c ; :o_orderstatus ?status . FILTER(?status = \"P\") } }", "SELECT c_name AS name, o_orderstatus AS status FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P'")
-_sparql("not_exists_anti", ["customer", "orders"], "SELECT ?name WHERE { ?c :c_name ?name . FILTER NOT EXISTS { ?o :o_custkey ?c } }", "SELECT c_name AS name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+_sparql("not_exists_anti", ["customer", "orders"], "SELECT ?name WHERE { ?c :c_name ?name . FILTER NOT EXISTS { ?o :o_custkey ?c ; :o_totalprice ?p . FILTER(?p > 400000) } }", "SELECT c_name AS name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 _sparql("exists_semi", ["customer", "orders"], "SELECT ?name WHERE { ?c :c_name ?name . FILTER EXISTS { ?o :o_custkey ?c ; :o_orderstatus \"F\" } }", "SELECT c_name AS name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
 _sparql("sparql_minus", ["customer"], "SELECT ?c WHERE { ?c a :Customer MINUS { ?c :c_mktsegment \"BUILDING\" } }", f"SELECT {iri_sql('customer', 'c_custkey')} AS c FROM customer WHERE c_mktsegment <> 'BUILDING'")
 _sparql("sparql_union", ["customer", "supplier"], "SELECT ?name WHERE { { ?x :c_name ?name } UNION { ?x :s_name ?name } }", "SELECT c_name AS name FROM customer UNION ALL SELECT s_name FROM supplier")
@@ -127,7 +127,7 @@ def inference(spark, folder):
 def _shacl(name: str, tables: list[str], shapes: list[shacl.Shape], sql: str) -> None:
     @query(name, sql)
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        r = shacl.validate(mapped(spark, folder, tables).quads(tables), shapes)
+        r = shacl.validate(mapped(spark, folder, tables), shapes)
         return r.select(F.col("focus.value").alias("focus"), "component", F.col("value.value").alias("value"))
 
 
@@ -146,16 +146,17 @@ _shacl("shacl_min_inclusive", ["part"], [Sh("s", [D + "Part"], properties=[P(D +
 _shacl("shacl_min_length", ["part"], [Sh("s", [D + "Part"], properties=[P(D + "p_type", min_length=8)])], f"SELECT {iri_sql('part', 'p_partkey')} AS focus, 'minLength' AS component, p_type AS value FROM part WHERE length(p_type) < 8")
 _shacl("shacl_node_kind", ["customer"], [Sh("s", _cust, properties=[P(D + "c_nationkey", node_kind="Literal")])], f"SELECT {_foc} AS focus, 'nodeKind' AS component, {iri_sql('nation', 'c_nationkey')} AS value FROM customer")
 _shacl("shacl_qualified", ["customer", "nation"], [Sh("s", _cust, properties=[P(D + "c_nationkey", qualified_class=D + "Nation", qualified_min=2)])], f"SELECT {_foc} AS focus, 'qualifiedMinCount' AS component, CAST(NULL AS VARCHAR) AS value FROM customer")
-_part_a, _part_b = Sh("a", properties=[P(D + "p_size", max_inclusive=25)]), Sh("b", properties=[P(D + "p_retailprice", max_inclusive=1000)])
+_part_a, _part_b = Sh("a", properties=[P(D + "p_size", max_inclusive=25)]), Sh("b", properties=[P(D + "p_retailprice", max_inclusive=950)])
 _pf = iri_sql("part", "p_partkey")
-for _name, _kw, _cond in (("and", "all_of", "p_size > 25 OR p_retailprice > 1000"), ("or", "any_of", "p_size > 25 AND p_retailprice > 1000"), ("xone", "one_of", "(p_size > 25) = (p_retailprice > 1000)"), ("not", "none_of", "p_size <= 25 OR p_retailprice <= 1000")):
+for _name, _kw, _cond in (("and", "all_of", "p_size > 25 OR p_retailprice > 950"), ("or", "any_of", "p_size > 25 AND p_retailprice > 950"), ("xone", "one_of", "(p_size > 25) = (p_retailprice > 950)"), ("not", "none_of", "p_size <= 25 OR p_retailprice <= 950")):
     _shacl(f"shacl_{_name}", ["part"], [Sh("s", [D + "Part"], **{_kw: ["a", "b"]}), _part_a, _part_b], f"SELECT {_pf} AS focus, '{_name}' AS component, {_pf} AS value FROM part WHERE {_cond}")
 _shacl("shacl_sparql", ["orders"], [Sh("s", [D + "Order"], sparql=["SELECT $this WHERE { $this :o_totalprice ?p . FILTER(?p > 300000) }"])], f"SELECT {iri_sql('orders', 'o_orderkey')} AS focus, 'sparql' AS component, {iri_sql('orders', 'o_orderkey')} AS value FROM orders WHERE o_totalprice > 300000")
 
 
-@query("shacl_report", "SELECT count(*) = 0 AS conforms, count(*) AS results FROM part WHERE p_size > 45")
+@query("shacl_report", "SELECT count(*) FILTER (p_size > 45) = 0 AS conforms, count(*) FILTER (p_size > 45) + count(*) FILTER (p_retailprice > 950) AS results, count(*) FILTER (p_size > 45) AS violations, count(*) FILTER (p_retailprice > 950) AS warnings, 0 AS infos FROM part")
 def shacl_report(spark, folder):
-    return shacl.conforms(shacl.validate(mapped(spark, folder, ["part"]).quads(), [Sh("s", [D + "Part"], properties=[P(D + "p_size", max_inclusive=45, min_count=1)])]))
+    shapes = [Sh("s", [D + "Part"], properties=[P(D + "p_size", max_inclusive=45, min_count=1)]), Sh("w", [D + "Part"], properties=[P(D + "p_retailprice", max_inclusive=950)], severity="warning")]
+    return shacl.conforms(shacl.validate(mapped(spark, folder, ["part"]), shapes))
 
 
 # --- scalars -------------------------------------------------------------------------------------------------------------------------------------

@@ -209,9 +209,15 @@ _NT = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:\^\
 
 
 def _nt_unescape(c):
-    for a, b in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"), ('\\"', '"'), ("\\\\", "\\")):
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return c
+    """Escapes resolved in one pass from left to right, so that an escaped backslash begins no further escape."""
+    parts = F.regexp_extract_all(c, F.lit(r"(?s)(\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+)"), 1)
+    short = F.create_map(*[F.lit(x) for kv in {"\\t": "\t", "\\n": "\n", "\\r": "\r", "\\b": "\b", "\\f": "\f", '\\"': '"', "\\'": "'", "\\\\": "\\"}.items() for x in kv])
+
+    def one(t):
+        point = F.decode(F.unhex(F.lpad(F.substr(t, F.lit(3)), 8, "0")), "UTF-32")
+        return F.when(F.rlike(t, F.lit(r"^\\[uU][0-9A-Fa-f]{4}")), point).otherwise(F.coalesce(F.try_element_at(short, t), t))
+
+    return F.when(F.contains(c, F.lit("\\")), F.array_join(F.transform(parts, one), "")).otherwise(c)
 
 
 def _nt_term(c):
