@@ -42,7 +42,7 @@ def analyse(files: DataFrame, fn: Callable[[str, str], object], result_type: str
 def current(rows: DataFrame, *cols: str) -> DataFrame:
     """One row per file_id: the greatest mtime, of equal ones the greatest content hash.  A null mtime is below every other."""
     g = rows.groupBy("file_id").agg(F.max(F.struct("mtime", "version", *cols)).alias("_c"))
-    return g.select("file_id", *[F.col(f"_c.{c}").alias(c) for c in cols])
+    return g.select("file_id", F.col("_c.mtime").alias("mtime"), *[F.col(f"_c.{c}").alias(c) for c in cols])
 
 
 def source_files(spark: SparkSession, folder: str) -> DataFrame:

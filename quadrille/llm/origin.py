@@ -1,14 +1,15 @@
 """Generated, minified or vendored source files and data in the guise of code.
 
-Each file is lexed and re-emitted in canonical form, one statement or bracket element a line; the original layout is held against that:
+Each file is lexed and re-emitted in canonical form, one statement a line; the original layout is held against that:
 
 * minified: the canonical form has far more lines than the original, or its lines are far longer than people write;
-* data: literals dominate what is not comment or documentation;
-* generated: nearly all canonical lines share a few token shapes, or the opening comment says that a tool wrote the file;
-* vendored: the file's namespace belongs to another project, and its path or opening comment says that it was taken over, or the same content
-  stands in that other project.
+* data: literals that are no documentation dominate what is not comment or documentation;
+* generated: nearly all canonical lines share a few token shapes;
+* vendored: the canonical form without comments stands in another project as that project's own, or the file declares itself part of another
+  project: its module's namespace is neither like the name of the project it lies in nor that of a good part of the project's files.
 
-Files that say they are maintained by hand, and the original of a copied file, are no cases, whatever their path or wording.
+No wording and no folder name decides: what a comment claims is neither needed nor believed, so files that people maintain are no cases whatever
+their path or wording, and the original of a copied file is none.  Null and empty contents are no cases.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stored
 from ..syntax import language_of, normal
 from .common import analyse, current, source_files
 
@@ -32,90 +34,91 @@ _STRINGS = {
 }
 _LEX = {k: re.compile(rf"(?P<com>{_LINE_COMMENT[k]})|(?P<str>{_STRINGS[k]})|(?P<num>\b0[xX][0-9a-fA-F_]+|\b\d[\d_]*(?:\.\d+)?(?:[eE][+-]?\d+)?)|(?P<word>[^\W\d]\w*[?!]?)|(?P<nl>\n)|(?P<op>[^\w\s])", re.S) for k in _STRINGS}
 
-#: Turns of phrase by which tools mark their output, and by which people mark what they took over or look after.
-GENERATED = re.compile(
-    r"auto-?\s?generated|<auto-generated|@generated\b|\bgenerated (?:by|from|with|using|on|code|file)\b|automatically (?:created|generated|produced|written)|do not (?:edit|modify|change)|don't edit|machine[- ](?:made|generated|written)|(?:code )?(?:produced|created|written|emitted|built|compiled) (?:by|from) \S+ (?:from|by)\b"
-    r"|hands off|changes (?:are|will be|get) (?:lost|overwritten)|edits (?:are|will be|get) (?:lost|overwritten)|\bwrote this (?:module|file)\b|edit \S+ and (?:rebuild|regenerate|rerun)|rerun \S+ instead",
-    re.I,
-)
-TAKEN = re.compile(
-    r"\bvendored\b|third[- _]party|bundled (?:here|copy|from|with)|copied (?:verbatim|unchanged|unmodified|from)|(?:imported|taken|pulled|mirrored) (?:unchanged |verbatim |over |as is )?from (?:upstream|the|\S+ v?\d)|taken unchanged|upstream project|report bugs upstream|bugs upstream|edits get lost on update",
-    re.I,
-)
-BY_HAND = re.compile(r"maintained by hand|hand[- ]?(?:written|maintained|edited)|edited by hand|not generated|no longer generated|(?:adapted|derived|forked|rewritten|reworked|modified|changed) (?:from|since|here|by us|locally)|originally (?:generated|copied|taken)|scaffold", re.I)
-VENDOR_DIR = re.compile(r"(?:^|/)(?:vendor|vendored|third[-_]party|thirdparty|deps|external|externals|bundled|extern|node_modules|bower_components|contrib)/", re.I)
-#: Bounds of the layout test; the last two are of files that are one literal.
-BLOB_SHARE, BLOB_CHARS = 0.85, 400
-EXPANSION, LONG_LINE, LITERAL_SHARE, SHAPE_SHARE, MIN_LINES, MIN_TOKENS = 3.0, 300, 0.6, 0.8, 12, 60
+#: Bounds of the layout test: canonical lines for each line, characters a line, shares of literals and of the two commonest shapes, and how many lines
+#: and tokens a layout needs to be one.  A file that is little but one literal has few tokens; for it the last two count.
+EXPANSION, LONG_LINE, LITERAL_SHARE, SHAPE_SHARE, MIN_LINES, MIN_TOKENS, BLOB_SHARE, BLOB_CHARS = 3.0, 300, 0.6, 0.8, 12, 60, 0.85, 400
+#: Share of a project's files from which on a namespace is the project's own.
+OWN_SHARE = 1 / 3
 
 
 def layout(lang: str, text: str) -> dict:
-    """Measures of a file's layout against its canonical form, and its opening comment."""
-    head, opened = [], False
+    """Measures of a file's layout against its canonical form, and the hash of that form without comments and documentation (None without code)."""
     lines: list[list[str]] = [[]]
-    depth = 0
-    lit = code = n = 0
-    comment_chars = 0
+    depth = lit = code = n = comment_chars = breaks = on_line = 0
     doc_next = False
-    words: list[str] = []
+    bare = hashlib.md5()
     for m in _LEX[lang].finditer(text):
         k, v = m.lastgroup, m.group()
         if k == "com":
             comment_chars += len(v)
-            if not opened:
-                head.append(re.sub(r"^[#%/*!\s]+|[#%*/\s]+$", "", v, flags=re.M) if lang != "javascript" else re.sub(r"(?m)^[\s/*]+|[\s/*]+$", "", v))
             continue
         if k == "nl":
+            breaks += on_line > 0
+            on_line = 0
             if lines[-1] and (depth == 0 or len(lines[-1]) > 2):
                 lines.append([])
             continue
-        opened = True
         if k == "str":
-            if doc_next or not lines[-1] and lang == "python" or "\n" in v and lang in ("elixir", "python"):
+            # documentation: what follows a documenting attribute, or stands alone as a Python statement
+            if doc_next or lang == "python" and not lines[-1]:
                 doc_next = False
+                on_line += 1
                 continue
-            doc_next = False
             lit += len(v)
             code += len(v)
             lines[-1].append("L")
-            n += 1
-            continue
-        n += 1
-        if k == "num":
+        elif k == "num":
             lit += len(v)
             code += len(v)
             lines[-1].append("L")
-            continue
-        code += len(v)
-        if k == "word":
-            doc_next = lang == "elixir" and v in ("moduledoc", "doc", "typedoc")
-            lines[-1].append("w" if len(words) > 4000 else v if v in _SHAPE_WORDS else "w")
-            continue
-        if v in "([{":
-            depth += 1
-        elif v in ")]}":
-            depth = max(0, depth - 1)
-        lines[-1].append(v)
-        if lang == "javascript" and v in ";{}" or v == "," and depth == 1 and lang != "javascript" and len(lines[-1]) > 400:
-            lines.append([])
+        else:
+            code += len(v)
+            if k == "word":
+                lines[-1].append(v if v in _SHAPE_WORDS else "w")
+            else:
+                lines[-1].append(v)
+                if v in "([{":
+                    depth += 1
+                elif v in ")]}":
+                    depth = max(0, depth - 1)
+        doc_next = lang == "elixir" and (k == "word" and v in ("moduledoc", "doc", "typedoc") or doc_next and v == "(")
+        bare.update(v.encode("utf-8", "surrogatepass") + b"\0")
+        n += 1
+        on_line += 1
+        if _ends_statement(lang, v, depth):
+            breaks += 1
+            on_line = 0
+            if lang == "javascript":
+                lines.append([])
+    breaks += on_line > 0
     canon = [x for x in lines if x]
     body = [x for x in text.split("\n") if x.strip()]
     shapes = Counter(" ".join(_squeeze(x)) for x in canon if len(x) > 2)
     total = sum(shapes.values())
     top = sum(c for _, c in shapes.most_common(2))
     return {
-        "head": " ".join(" ".join(h.split()) for h in head if h.strip()),
-        "expansion": len(canon) / max(1, len(body) - (comment_chars > 0)),
-        "long": max((len(x) for x in body), default=0),
+        "expansion": (len(canon) if lang == "javascript" else breaks) / max(1, len(body) - (comment_chars > 0)),
         "mean": (len(text) - comment_chars) / max(1, len(body)),
         "literal": lit / code if code else 0.0,
         "code": code,
         "uniform": top / total if total else 0.0,
         "lines": total,
         "tokens": n,
+        "hash": bare.hexdigest() if n else None,
     }
 
 
+def _ends_statement(lang: str, v: str, depth: int) -> bool:
+    """Whether the canonical form breaks the line after a token."""
+    if lang == "javascript":
+        return v in (";", "{", "}")
+    if lang == "erlang":
+        return v == ";" or depth == 0 and v in (",", ".")
+    if lang == "python":
+        return v == ";"
+    return v in (";", "do")
+
+
 _SHAPE_WORDS = frozenset("def defp do end fn case when if for with function return const let var export import class raise try receive".split())
 
 
@@ -141,48 +144,47 @@ def namespace(lang: str, text: str) -> str | None:
     return m.group(1).lower().replace("_", "") if m else None
 
 
-def unit_of(package: str | None, path: str | None) -> str:
-    """The project a file belongs to: its package, or the application folder of an umbrella repository."""
-    m = re.match(r"(?:apps|packages|libs|services)/([^/]+)/", path or "")
-    return (m.group(1) if m else package or "").lower().replace("_", "")
-
-
 def kind_of(path: str | None, content: str | None) -> tuple | None:
-    """(kind by layout or opening comment, namespace, whether the text says it was taken over, content hash); kind null: not told by the file alone."""
+    """(kind by layout, namespace, hash of the canonical form, tokens); kind null: not told by the file alone."""
     lang = language_of(path)
     if lang is None or lang == "json":
         return None
     text = normal(content)
-    bare = text.strip()
     x = layout(lang, text)
-    by_hand = bool(BY_HAND.search(x["head"]))
     kind = None
     enough = x["tokens"] >= MIN_TOKENS
-    if enough and lang == "javascript" and (x["expansion"] >= EXPANSION or x["mean"] >= LONG_LINE):
+    if enough and (x["expansion"] >= EXPANSION or x["mean"] >= LONG_LINE and x["literal"] < LITERAL_SHARE):
         kind = "minified"
     elif enough and x["literal"] >= LITERAL_SHARE or x["literal"] >= BLOB_SHARE and x["code"] >= BLOB_CHARS:
         kind = "data"
-    elif not by_hand and GENERATED.search(x["head"]):
-        kind = "generated"
     elif x["lines"] >= MIN_LINES and x["uniform"] >= SHAPE_SHARE:
         kind = "generated"
-    if kind == "generated" and x["uniform"] < SHAPE_SHARE and TAKEN.search(x["head"]):
-        kind = None  # the turn of phrase was about a copy
-    taken = not by_hand and bool(TAKEN.search(x["head"]) or VENDOR_DIR.search(path or ""))
-    return kind, namespace(lang, text), taken, hashlib.md5(bare.encode("utf-8", "surrogatepass")).hexdigest() if len(bare) > 80 else None
+    return kind, namespace(lang, text), x["hash"], x["tokens"]
 
 
 def classify_files(files: DataFrame) -> DataFrame:
-    """(file_id, kind) with kind = minified, data, generated or vendored, of the current state of each code file that is one of them."""
-    rows = analyse(files, kind_of, "struct<kind string, ns string, taken boolean, hash string>", keep="package string, path string")
-    c = current(rows, "package", "path", "result").select("file_id", "package", "path", "result.*")
+    """(file_id, kind) with kind = minified, data, generated or vendored, of the current state of each code file that is one of them.
+
+    Projects and namespaces come from narrow rows by aggregations with partial results.  Of equal forms without a namespace the earliest state is the
+    original, of equal times the least project; forms of fewer than ``MIN_TOKENS`` tokens may be equal by chance and need a namespace.
+    """
+    rows = analyse(files, kind_of, "struct<kind string, ns string, hash string, tokens int>", keep="package string, path string")
+    c = current(rows, "package", "path", "result").select("file_id", "mtime", "package", "path", "result.*")
     app = F.regexp_extract(F.col("path"), r"^(?:apps|packages|libs|services)/([^/]+)/", 1)
-    c = c.withColumn("unit", F.regexp_replace(F.lower(F.coalesce(F.when(app != "", app), F.col("package"), F.lit(""))), "_", ""))
-    c = c.withColumn("foreign", F.col("ns").isNotNull() & (F.col("ns") != F.col("unit")))
-    # the projects in which a content stands as their own: one narrow row per content and project
-    own = c.filter(F.col("hash").isNotNull() & ~F.col("foreign") & F.col("ns").isNotNull()).select("hash", "ns").distinct().withColumn("original", F.lit(True))
-    j = c.filter(F.col("foreign")).join(own, ["hash", "ns"], "left").withColumn("kind", F.coalesce("kind", F.when(F.col("taken") | F.col("original"), "vendored")))
-    return c.filter(~F.col("foreign") & F.col("kind").isNotNull()).select("file_id", "kind").unionByName(j.filter(F.col("kind").isNotNull()).select("file_id", "kind"))
+    c = stored(c.withColumn("unit", F.regexp_replace(F.lower(F.coalesce(F.when(app != "", app), F.col("package"), F.lit(""))), "_", "")).drop("path", "package"), "origin")
+    # the namespaces that are a project's own: like its name, or those of a good part of its files
+    held = c.filter("ns is not null").groupBy("unit", "ns").agg(F.count("*").alias("n"))
+    whole = held.groupBy("unit").agg(F.sum("n").alias("whole"))
+    alike = F.startswith("ns", F.col("unit")) | F.startswith("unit", F.col("ns"))
+    own = held.join(whole, "unit").filter(alike & (F.col("unit") != "") | (F.col("n") >= F.col("whole") * OWN_SHARE) & (F.col("n") > 1)).select("unit", "ns", F.lit(True).alias("own"))
+    j = c.join(own, ["unit", "ns"], "left")
+    foreign = F.col("ns").isNotNull() & F.col("own").isNull()
+    # the first project of each form without a namespace, where more than one holds it
+    plain = c.filter(F.col("ns").isNull() & (F.col("tokens") >= MIN_TOKENS))
+    first = plain.groupBy("hash").agg(F.min(F.struct("mtime", "unit")).alias("o"), F.min("unit").alias("a"), F.max("unit").alias("b")).filter("a <> b").select("hash", F.col("o.unit").alias("original"))
+    copies = plain.join(first, "hash").filter(F.col("unit") != F.col("original")).select("file_id", F.coalesce("kind", F.lit("vendored")).alias("kind"))
+    told = j.withColumn("kind", F.coalesce("kind", F.when(foreign, "vendored"))).filter("kind is not null").select("file_id", "kind")
+    return told.unionByName(copies).distinct()
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
