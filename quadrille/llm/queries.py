@@ -18,6 +18,7 @@ QUERIES = {
     "p5_pairs": docpairs.p5_pairs,
     "p6_found": licenses.p6_found,
     "p6_packages": licenses.p6_packages,
+    "p6_directories": licenses.p6_directories,
     "p8_ids": tokens.p8_ids,
     "p8_counts": tokens.p8_counts,
     "p9_found": leaks.p9_found,

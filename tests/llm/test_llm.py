@@ -126,6 +126,44 @@ def test_file_licenses(spark):
     assert licenses.file_licenses(f.limit(0), pk.limit(0), ref).count() == 0
 
 
+def test_texts_of_licenses_equal_a_dense_product():
+    import numpy as np
+
+    rnd = random.Random(3)
+    words = "you may use copy change this work notice stays papers point text form others year page".split()
+    rows = [(f"L-{k}", f"License {k}", " ".join(rnd.choice(words) for _ in range(30))) for k in range(6)]
+    t = licenses.Templates(rows)
+    idf = np.asarray([1 + rnd.random() for _ in t.vocabulary])
+    dense = np.zeros((6, len(t.vocabulary)))
+    dense[t.holder, t.gram] = t.count
+
+    def plain(terms):
+        found, tf = [], np.bincount(np.asarray(terms, dtype=int), minlength=len(t.vocabulary)).astype(float)
+        while tf.sum() >= licenses.LEAST_GRAMS and len(found) < 6:
+            x, w = tf * idf, dense * idf
+            cos = w @ x / np.linalg.norm(w, axis=1) / np.linalg.norm(x)
+            a, b = np.argsort(-cos)[:2]
+            if cos[a] < licenses.COSINE or w[a][tf > 0].sum() / w[a].sum() < licenses.COVER or cos[a] - cos[b] < licenses.MARGIN:
+                break
+            found.append(int(a))
+            tf = np.maximum(0, tf - dense[a])
+        return found
+
+    texts = [rows[0][2], rows[1][2] + " x " + rows[4][2], "", "you may", rows[2][2][:90], " ".join(rnd.choice(words) for _ in range(200))] + [rows[rnd.randrange(6)][2] + " y " + " ".join(rnd.choice(words) for _ in range(rnd.randrange(40))) for _ in range(30)]
+    terms = [t.known_grams(x) for x in texts]
+    got = t.texts_in(terms, t.weigh(idf))
+    assert got == [plain(x) for x in terms] and got[0] == [0] and sum(map(bool, got)) > 10 and t.texts_in([], t.weigh(idf)) == []
+
+
+def test_directories(spark):
+    ref = spark.createDataFrame(BODIES, REF)
+    pk = spark.createDataFrame([], "name string, meta struct<licenses: array<string>>, updated_at bigint")
+    f = files(spark, [(1, "a", "lib/x.ex", "# OAK-1.0\n", 1), (2, "a", "./lib/sub//y.ex", "# ELM-2\n", 1), (3, "a", "lib/sub/deep/z.ex", "x = 1", 1), (4, "a", "test/t.exs", "", 1), (5, "a", "mix.exs", "# OAK-1.0\n", 1), (6, None, "q.ex", "# ELM-2\n", 1), (7, "b", None, "x", 1)])
+    own, _ = licenses.licenses_of(f, pk, ref)
+    got = {(r.package, r.directory): (r.license, r.files, r.naming) for r in licenses.directory_licenses(own).collect()}
+    assert got == {("a", ""): ("conflict", 5, 3), ("a", "lib"): ("conflict", 3, 2), ("a", "lib/sub"): ("ELM-2", 2, 1), ("a", "lib/sub/deep"): ("unknown", 1, 0), ("a", "test"): ("unknown", 1, 0), (None, ""): ("ELM-2", 1, 1), ("b", ""): ("unknown", 1, 0)}
+
+
 def test_tokens_equal_the_reference_encoder(spark):
     tiktoken = pytest.importorskip("tiktoken")
     import base64
