@@ -7,6 +7,7 @@ Files that do not parse give a row of ``parse_errors`` and no nodes.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -16,11 +17,11 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import terms as T
-from ..session import spread, stored
+from ..session import spread
 from ..syntax import elixir, normal, tables
 from ..syntax.lalr import Machine, SyntaxFault
 
-NODE = "file_id bigint, pre int, post int, parent int, depth int, nth int, kind string, name string, text string, arity int, defaults int, has_do boolean, line int, module string, fun string, fun_arity int"
+NODE = "file_id bigint, pre int, post int, parent int, depth int, nth int, kind string, name string, text string, arity int, defaults int, has_do boolean, line int, module string, fun string, fun_arity int, free array<string>"
 _LEAF = {"ID": "var", "PID": "call_name", "NP": "call_name", "NP_DO": "call_name", "P_DO": "call_name", "ID_DO": "call_name", "ALIAS": "alias", "ATOM": "atom", "INT": "integer", "FLOAT": "float", "CHAR": "integer", "STR": "string", "CHARS": "charlist", "SIGIL": "sigil", "LIT": "atom", "INT_CAP": "placeholder", "KW": "key", "BLOCK": "section"}
 DEFINERS = ("def", "defp", "defmacro", "defmacrop", "defguard", "defguardp", "defdelegate")
 MODULES = ("defmodule", "defprotocol", "defimpl")
@@ -29,7 +30,7 @@ SPECIAL = (*DEFINERS, *MODULES, *CONTROL, "alias", "import", "require", "use", "
 
 
 #: Calls whose text facts look into; of others only the name is kept, so that nested calls do not repeat each other's text.
-_TEXTS = frozenset(["alias", "import", "require", "use", "defstruct", "defexception", "defimpl", "Supervisor.init", "Supervisor.start_link", "DynamicSupervisor.init", "DynamicSupervisor.start_link", ":ets.new"])
+_TEXTS = frozenset(["alias", "import", "require", "use", "defstruct", "defexception", "defimpl", "defprotocol", "Supervisor.init", "Supervisor.start_link", "DynamicSupervisor.init", "DynamicSupervisor.start_link", ":ets.new"])
 
 
 class Leaf(str):
@@ -51,11 +52,17 @@ def parse_tree(text: str):
 
 
 def _text(x) -> str:
-    if isinstance(x, str):
-        return str(x)
-    if isinstance(x, list):
-        return ", ".join(_text(y) for y in x)
-    return "".join(_text(y) for y in x[1]) if isinstance(x, tuple) else ""
+    """Text of a node; members of a list are parted by commas."""
+    out, todo = [], [x]
+    while todo:
+        y = todo.pop()
+        if isinstance(y, str):
+            out.append(str(y))
+        elif isinstance(y, list):
+            todo.extend(z for i, k in reversed(list(enumerate(y))) for z in ((k, ", ") if i else (k,)))
+        elif isinstance(y, tuple):
+            todo.extend(reversed(y[1]))
+    return "".join(out)
 
 
 def _line(x) -> int | None:
@@ -85,29 +92,43 @@ def _name_arity(x) -> tuple[str, list, object] | None:
 
 
 def nodes_of(file_id: int, text: str) -> list[tuple]:
-    """Rows of NODE for one file; raises SyntaxFault."""
+    """Rows of NODE for one file; raises SyntaxFault.
+
+    ``free`` of an anonymous function holds the variables that it uses and does not bind, as often as it uses them.  Arguments, left sides of ``=`` and
+    ``<-`` and the heads of clauses bind, anywhere in the function; pinned variables, guards, defaults and sizes use.  What an inner function leaves
+    free, the outer one uses.
+    """
     tree = parse_tree(text)
     rows: list[list] = []
     heads: set[int] = set()
+    named: set[int] = set()  # functions that a capture names
     pre = post = 0
-    # (node, parent, depth, nth, module, fun, arity) or a row to close
-    stack: list = [((x, -1, 0, i, None, None, None)) for i, x in reversed(list(enumerate(tree or [])))]
+    # (node, parent, depth, nth, module, fun, arity, scope, binds) or a row to close with its scope: (bound, used, outer scope)
+    stack: list = [((x, -1, 0, i, None, None, None, None, False)) for i, x in reversed(list(enumerate(tree or [])))]
     while stack:
         item = stack.pop()
-        if len(item) == 1:
-            item[0][2] = post
+        if len(item) == 2:
+            row, scope = item
+            row[2] = post
             post += 1
+            if scope:
+                row[-1] = sorted(v for v in scope[1] if v not in scope[0])
+                if scope[2]:
+                    scope[2][1].extend(row[-1])
             continue
-        x, parent, depth, nth, module, fun, arity = item
+        x, parent, depth, nth, module, fun, arity, scope, binds = item
+        sides = None  # whether each child stands where it binds
         kind, name, n, defaults, has_do, kids = "leaf", None, None, None, False, []
         mod2, fun2, ar2 = module, fun, arity
         if isinstance(x, Leaf):
             kind, name = _LEAF.get(x.kind, "token"), str(x)
             if kind == "token":
                 continue
+            if kind == "var" and scope and name != "_":
+                scope[0].add(name) if binds else scope[1].append(name)
         elif isinstance(x, list):
             for i, k in reversed(list(enumerate(x))):
-                stack.append((k, parent, depth, i, module, fun, arity))
+                stack.append((k, parent, depth, i, module, fun, arity, scope, binds))
             continue
         elif isinstance(x, tuple):
             label, kids = x[0], x[1]
@@ -119,7 +140,8 @@ def nodes_of(file_id: int, text: str) -> list[tuple]:
                     kind = "remote_call"
                 if name in MODULES and args:
                     own = _text(args[0])
-                    mod2 = f"{module}.{own}" if module and name != "defimpl" else own
+                    target = re.search(r"\bfor:\s*([A-Z]\w*(?:\.[A-Z]\w*)*)", _text(args[1:])) if name == "defimpl" else None
+                    mod2 = f"{own}.{target.group(1)}" if target else f"{module}.{own}" if module and name != "defimpl" else own
                     fun2 = ar2 = None
                 elif name in DEFINERS and args:
                     h = _name_arity(args[0])
@@ -137,7 +159,8 @@ def nodes_of(file_id: int, text: str) -> list[tuple]:
                 elif isinstance(inner, Leaf) and inner.kind == "ALIAS":
                     kind, name, kids = "alias", _text(x), []
                 else:
-                    kind, name, n, kids = "remote_call", _text(x), 0, [kids[0]]
+                    # without parentheses a variable's member is a field
+                    kind, name, n, kids = "field" if isinstance(kids[0], Leaf) and kids[0].kind == "ID" else "remote_call", _text(x), 0, [kids[0]]
             elif label == "dotcall":
                 kind, name, n = "dynamic_call", _text(kids[0]), len(args)
             elif label == "at":
@@ -149,56 +172,83 @@ def nodes_of(file_id: int, text: str) -> list[tuple]:
             elif label in ("bin", "un"):
                 kind = "operator" if label == "bin" or str(kids[0]) != "&" else "capture"
                 name, n = str(kids[1] if label == "bin" else kids[0]), 2 if label == "bin" else 1
-                kids = [kids[0], kids[2]] if label == "bin" else [kids[1]]
+                if kind == "capture" and isinstance(kids[1], tuple) and kids[1][0] == "bin" and kids[1][1][1] == "/":
+                    named.add(id(kids[1][1][0]))
+                if label == "bin":
+                    kids = [kids[0], kids[2]]
+                    sides = [binds or name in ("=", "<-"), binds and name not in ("when", "\\\\", "::")]
+                else:
+                    kids, sides = [kids[1]], [binds and name != "^"]
             elif label == "fn":
                 kind, n = "fn", None
             elif label in ("stab", "stab0"):
                 kind = "clause"
+                sides = [True] * (len(kids) - 1) + [False] if label == "stab" else None
             else:
                 kind = label
         else:
             continue
         if id(x) in heads:
             kind = "head"
-        row = [file_id, pre, None, parent, depth, nth, kind, name, _text(x) if kind == "attribute" or name in _TEXTS else name, n, defaults, has_do, _line(x), mod2 if kind == "call" and name in MODULES else module, fun2 if kind == "call" and name in DEFINERS else fun, ar2 if kind == "call" and name in DEFINERS else arity]
+        elif id(x) in named:
+            kind = "function_name"
+        text = f"{name} {_text(args)}" if kind == "call" and name in _TEXTS else f"@{name} {_text(kids)}" if kind == "attribute" else _text(x) if name in _TEXTS else name
+        row = [file_id, pre, None, parent, depth, nth, kind, name, text, n, defaults, has_do, _line(x), mod2 if kind == "call" and name in MODULES else module, fun2 if kind == "call" and name in DEFINERS else fun, ar2 if kind == "call" and name in DEFINERS else arity, None]
         rows.append(row)
         me = pre
         pre += 1
-        stack.append((row,))
+        inner = (set(), [], scope) if kind == "fn" else scope
+        stack.append((row, inner if kind == "fn" else None))
         for i, k in reversed(list(enumerate(kids))):
-            stack.append((k, me, depth + 1, i, mod2, fun2, ar2))
+            stack.append((k, me, depth + 1, i, mod2, fun2, ar2, inner, sides[i] if sides else binds and kind != "call"))
     return [tuple(r) for r in rows]
 
 
-def _parse_rows(files: DataFrame, errors: bool) -> DataFrame:
+def _parse_rows(files: DataFrame, errors: bool, keep: list[str]) -> DataFrame:
+    kept = ", ".join(f"{c} bigint" for c in keep)
+    schema = ("file_id bigint, path string, message string, line int" if errors else NODE) + (f", {kept}" if kept else "")
+    cols = [c.split()[0] for c in schema.split(", ")]
+    whole = [c for c in cols if c in ("pre", "post", "parent", "depth", "nth", "arity", "defaults", "line", "fun_arity")]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for fid, path, content in zip(b["file_id"], b["path"], b["content"]):
+            for fid, path, content, *rest in zip(b["file_id"].astype("Int64"), b["path"], b["content"], *(b[c].astype("Int64") for c in keep)):
+                fid = None if fid is pd.NA else int(fid)
                 try:
-                    rows = nodes_of(int(fid), normal(content))
+                    rows = nodes_of(fid, normal(content))
                     if not errors:
-                        out.extend(rows)
+                        out.extend((*r, *rest) for r in rows)
                 except SyntaxFault as e:
                     if errors:
-                        out.append((int(fid), path, e.message, e.line))
-                except RecursionError:
-                    if errors:
-                        out.append((int(fid), path, "nested too deeply", None))
-            cols = ["file_id", "path", "message", "line"] if errors else [c.split()[0] for c in NODE.split(", ")]
-            yield pd.DataFrame(out, columns=cols).astype({c: "Int32" for c in cols if c in ("pre", "post", "parent", "depth", "nth", "arity", "defaults", "line", "fun_arity")})
+                        out.append((fid, path, e.message, e.line, *rest))
+            yield pd.DataFrame(out, columns=cols).astype({c: "Int32" for c in whole} | {c: "Int64" for c in ("file_id", *keep)})
 
-    src = files.filter(F.col("path").rlike(r"\.exs?$") & F.col("file_id").isNotNull()).select("file_id", "path", "content")
-    return spread(src).mapInPandas(run, "file_id bigint, path string, message string, line int" if errors else NODE)
+    src = files.filter(F.col("path").rlike(r"\.exs?$")).select("file_id", "path", "content", *keep)
+    return spread(src).mapInPandas(run, schema)
 
 
 def ast_nodes(files: DataFrame) -> DataFrame:
-    """The interval table of all files that parse."""
-    return _parse_rows(files, False)
+    """The interval table of all files that parse; a null file_id is an id of its own."""
+    return _parse_rows(files, False, [])
 
 
 def parse_errors(files: DataFrame) -> DataFrame:
-    return _parse_rows(files, True)
+    return _parse_rows(files, True, [])
+
+
+def of_current_files(files: DataFrame, errors: bool = False) -> DataFrame:
+    """``ast_nodes`` or ``parse_errors`` of the current states among ``files`` (file_id, path, content, mtime).
+
+    The greatest mtime of a file_id is current, of equal ones the greatest content hash; a null mtime is below all others.  Contents are parsed where
+    they are read and never moved: which state is current is found over (file_id, mtime, hash), and the rows of other states are dropped by a semi
+    join, below which filters on the facts wanted and the choice of their columns reach.
+    """
+    keyed = files.select("file_id", "path", "content", "mtime", F.xxhash64("content", F.col("content").isNull(), "path").alias("version"))
+    best = keyed.groupBy("file_id").agg(F.max(F.struct("mtime", "version")).alias("_b")).select(F.col("file_id").alias("_f"), F.col("_b.mtime").alias("_m"), F.col("_b.version").alias("_v"))
+    rows = _parse_rows(keyed, errors, ["mtime", "version"])
+    on = F.col("file_id").eqNullSafe(F.col("_f")) & F.col("mtime").eqNullSafe(F.col("_m")) & (F.col("version") == F.col("_v"))
+    return rows.join(best, on, "left_semi").drop("mtime", "version").distinct()  # a state may be delivered twice
 
 
 def descendants(nodes: DataFrame, of: DataFrame) -> DataFrame:
@@ -262,7 +312,7 @@ def directives(n: DataFrame) -> DataFrame:
 
 def attributes(n: DataFrame) -> DataFrame:
     kind = F.col("name")
-    return n.filter(F.col("kind") == "attribute").select("file_id", "module", F.col("name"), "line", F.col("arity").alias("values"), "text", F.when(kind.isin("doc", "moduledoc", "typedoc"), "documentation").when(kind.isin("type", "typep", "opaque"), "type").when(kind.isin("spec", "callback", "macrocallback"), "spec").when(kind.isin("behaviour", "impl", "deprecated", "since", "derive", "compile", "enforce_keys", "on_load", "before_compile", "after_compile", "external_resource", "dialyzer", "vsn"), kind).otherwise("attribute").alias("attribute_kind"))
+    return n.filter(F.col("kind") == "attribute").select("file_id", "module", F.col("name"), "line", F.col("arity").alias("values"), F.regexp_replace("text", r"(?s)^@\S+ ?", "").alias("value"), "text", F.when(kind.isin("doc", "moduledoc", "typedoc"), "documentation").when(kind.isin("type", "typep", "opaque"), "type").when(kind.isin("spec", "callback", "macrocallback"), "spec").when(kind.isin("behaviour", "impl", "deprecated", "since", "derive", "compile", "enforce_keys", "on_load", "before_compile", "after_compile", "external_resource", "dialyzer", "vsn"), kind).otherwise("attribute").alias("attribute_kind"))
 
 
 def types(n: DataFrame) -> DataFrame:
@@ -291,7 +341,8 @@ def structs(n: DataFrame) -> DataFrame:
 
 def protocols(n: DataFrame) -> DataFrame:
     p = _calls(n, "defprotocol", "defimpl")
-    return p.select("file_id", F.col("module").alias("protocol"), (F.col("name") == "defimpl").alias("implementation"), F.regexp_extract("text", r"for:\s*([A-Z][\w.]*)", 1).alias("for_type"), "line")
+    alias = r"([A-Z]\w*(?:\.[A-Z]\w*)*)"
+    return p.select("file_id", F.regexp_extract("text", rf"^\w+ {alias}", 1).alias("protocol"), (F.col("name") == "defimpl").alias("implementation"), F.regexp_extract("text", rf"\bfor:\s*{alias}", 1).alias("for_type"), "line")
 
 
 def behaviours(n: DataFrame) -> DataFrame:
@@ -318,15 +369,8 @@ def anonymous_functions(n: DataFrame) -> DataFrame:
 
 
 def free_variables(n: DataFrame) -> DataFrame:
-    """Variables that an anonymous function uses and none of its clauses binds, per function, with how often they occur."""
-    fn = n.filter(F.col("kind") == "fn").select("file_id", F.col("pre").alias("f_pre"), F.col("post").alias("f_post"))
-    inside = n.filter(F.col("kind") == "var").join(fn, "file_id").filter((F.col("pre") > F.col("f_pre")) & (F.col("post") < F.col("f_post")))
-    clause = n.filter(F.col("kind") == "clause").select("file_id", F.col("pre").alias("parent"))
-    heads = n.select("file_id", "parent", "pre", "post", "nth").join(clause, ["file_id", "parent"], "left_semi")
-    last = heads.groupBy("file_id", "parent").agg(F.max("nth").alias("m"))
-    arg = heads.join(last, ["file_id", "parent"]).filter(F.col("nth") < F.col("m")).select("file_id", F.col("pre").alias("a_pre"), F.col("post").alias("a_post"))
-    bound = inside.join(arg, "file_id").filter((F.col("pre") >= F.col("a_pre")) & (F.col("post") <= F.col("a_post"))).select("file_id", "f_pre", "name").distinct()
-    return inside.join(bound, ["file_id", "f_pre", "name"], "left_anti").groupBy("file_id", F.col("f_pre").alias("pre"), "name").agg(F.count("*").alias("uses"))
+    """Variables that an anonymous function uses and does not bind, per function, with how often it uses them; see ``nodes_of``."""
+    return n.filter(F.col("kind") == "fn").select("file_id", "module", "fun", "line", "pre", F.explode("free").alias("name")).groupBy("file_id", "module", "fun", "line", "pre", "name").agg(F.count("*").alias("uses"))
 
 
 def quotes(n: DataFrame) -> DataFrame:
@@ -334,9 +378,9 @@ def quotes(n: DataFrame) -> DataFrame:
 
 
 def snapshot_statistics(files: DataFrame, n: DataFrame) -> DataFrame:
-    """One row: modules, definition clauses, macros, protocols, behaviours, files and lines."""
+    """One row: modules, definition clauses, macros, protocols, behaviours, files and lines; ``files`` has path and lines."""
     counts = n.agg(F.count_if((F.col("kind") == "call") & (F.col("name") == "defmodule")).alias("modules"), F.count_if((F.col("kind") == "call") & F.col("name").isin("def", "defp")).alias("functions"), F.count_if((F.col("kind") == "call") & F.col("name").isin("defmacro", "defmacrop")).alias("macros"), F.count_if((F.col("kind") == "call") & (F.col("name") == "defprotocol")).alias("protocols"), F.count_distinct(F.when((F.col("kind") == "attribute") & (F.col("name") == "callback"), F.struct("file_id", "module"))).alias("behaviours"))
-    lines = files.filter(F.col("path").rlike(r"\.exs?$")).agg(F.count("*").alias("files"), F.sum(F.size(F.split(F.coalesce("content", F.lit("")), "\n"))).alias("lines"))
+    lines = files.filter(F.col("path").rlike(r"\.exs?$")).agg(F.count("*").alias("files"), F.coalesce(F.sum("lines"), F.lit(0)).alias("lines"))
     return counts.crossJoin(lines)  # one row each
 
 
@@ -351,15 +395,16 @@ def supervisors(n: DataFrame) -> DataFrame:
 
 
 def child_specs(n: DataFrame) -> DataFrame:
-    """Modules in the child list of a supervisor's init or start_link, by place; a name that ends in Supervisor is one, all others are workers."""
+    """The first module in each element of a supervisor's child list in init or start_link, by place; a name that ends in Supervisor is one, all others
+    are workers."""
     sup = n.filter((F.col("kind") == "operator") & (F.col("name") == "=") & (F.col("fun") == "init") | (F.col("kind") == "remote_call") & F.col("name").isin("Supervisor.init", "Supervisor.start_link")).select("file_id", "module", "fun", F.col("pre").alias("a"), F.col("post").alias("b"))
-    lists = n.filter("kind = 'list'").select("file_id", F.col("pre").alias("lp"), F.col("post").alias("lq")).join(sup, "file_id").filter("lp > a and lq < b").select("file_id", "module", "lp", "lq").distinct()
-    m = n.filter("kind = 'alias'").select("file_id", "name", "pre", "post", "parent", "depth", "line").join(lists, "file_id").filter("pre > lp and post < lq")
-    first = Window.partitionBy("file_id", "module", "lp").orderBy("pre")
-    top = m.groupBy("file_id", "module", "lp", "parent").agg(F.min(F.struct("pre", "name", "line")).alias("c")).select("file_id", "module", "lp", "c.*")
-    direct = m.join(lists.select("file_id", F.col("lp").alias("parent")).distinct(), ["file_id", "parent"], "left_semi").select("file_id", "module", "lp", "pre", "name", "line")
-    every = top.unionByName(direct).distinct()
-    return every.select("file_id", "module", F.col("name").alias("child"), (F.row_number().over(first) - 1).alias("position"), F.when(F.endswith("name", F.lit("Supervisor")), "supervisor").otherwise("worker").alias("type"), "line")
+    lists = n.filter("kind = 'list'").select("file_id", F.col("pre").alias("lp"), F.col("post").alias("lq")).join(sup, "file_id").filter("lp > a and lq < b").select("file_id", "module", "lp").distinct()
+    # outermost lists only: an element may hold a list of its own
+    element = n.select("file_id", F.col("parent").alias("lp"), F.col("pre").alias("e"), F.col("post").alias("f")).join(lists, ["file_id", "lp"])
+    named = n.filter("kind = 'alias'").select("file_id", "name", "pre", "post", "line").join(element, "file_id").filter("pre >= e and post <= f")
+    each = named.groupBy("file_id", "module", "lp", "e").agg(F.min(F.struct("pre", "name", "line")).alias("c")).groupBy("file_id", "module", "c").agg(F.min("lp").alias("lp")).select("file_id", "module", "lp", "c.*")
+    place = Window.partitionBy("file_id", "module", "lp").orderBy("pre")
+    return each.select("file_id", "module", F.col("name").alias("child"), (F.row_number().over(place) - 1).alias("position"), F.when(F.endswith("name", F.lit("Supervisor")), "supervisor").otherwise("worker").alias("type"), "line")
 
 
 def ets_tables(n: DataFrame) -> DataFrame:
@@ -417,9 +462,8 @@ def _text_of(c: str, dt: str = "string") -> Column:
 def build(n: DataFrame, base: str = T.DATA) -> DataFrame:
     """Statements (g, s, p, o) about modules, functions, clauses, calls, control flow, directives, types and processes; duplicates removed.
 
-    The nodes are written once, so that ten projections do not parse ten times.
+    The nodes are read once for each part: hand in a stored table, or they are parsed as often.
     """
-    n = stored(n, "nodes")
     b, C = F.lit(base), lambda x: T.constant(("iri", x))
     mod = lambda c: S.iri_module(b, F.col(c))
     fun = lambda m, f, a: S.iri_function(b, F.col(m), F.col(f), F.col(a))

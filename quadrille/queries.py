@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sample
 from .functions import scalars as S
 from .functions import terms as T
 from .operators import facts, rollups
 from .operators.graph import QuadGraph, mapped, materialise, reachable
 from .plans import shacl, sparql
-from .session import table
+from .session import stored, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -395,15 +396,18 @@ def similar_documents(spark, folder):
 # --- code facts ----------------------------------------------------------------------------------------------------------------------------------
 
 
-def _nodes(spark, folder):
-    return facts.ast_nodes(_current_files(spark, folder))
+_NODES: dict[tuple, object] = {}
 
 
-def _current_files(spark, folder):
-    """Current files: the greatest mtime of each file_id, chosen over narrow rows, whose content is then fetched by a semi join."""
+def _nodes(spark, folder):
+    """The node table of the current files, written once for all queries of a session on the same state of the table."""
     s = table(spark, folder, "source_file")
-    best = s.groupBy("file_id").agg(F.max("mtime").alias("mtime"))
-    return s.join(best, ["file_id", "mtime"], "left_semi").dropDuplicates(["file_id"])
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.inputFiles()[0] if s.inputFiles() else folder)
+    status = fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(fs)
+    key = (spark.sparkContext.applicationId, folder, len(s.inputFiles()), status.getModificationTime(), status.getLen())
+    if key not in _NODES:
+        _NODES[key] = stored(facts.of_current_files(s), "nodes")
+    return _NODES[key]
 
 
 def _fact(name: str, f) -> None:
@@ -416,6 +420,51 @@ for _n, _f in (("code_modules", facts.modules), ("code_functions", facts.functio
     _fact(_n, _f)
 
 
+_ATTR = "SELECT DISTINCT m.file_id, module, attr_name AS name, line FROM module_attribute m JOIN (SELECT file_id, max(mtime) AS mtime FROM source_file GROUP BY 1) f ON m.file_id = f.file_id AND m.file_mtime = f.mtime"
+
+
+def _set_attributes(spark, folder):
+    """Attributes that are set, without types and specs: what the table of another extractor lists."""
+    return facts.attributes(_nodes(spark, folder)).filter("values > 0 AND attribute_kind NOT IN ('type', 'spec')")
+
+
+@query("code_attribute_sites", _ATTR)
+def code_attribute_sites(spark, folder):
+    return _set_attributes(spark, folder).select("file_id", "module", "name", "line").distinct()
+
+
+@query("code_attribute_histogram", f"SELECT name, count(*) AS n, count(DISTINCT file_id) AS files FROM ({_ATTR}) GROUP BY 1")
+def code_attribute_histogram(spark, folder):
+    return _set_attributes(spark, folder).select("file_id", "module", "name", "line").distinct().groupBy("name").agg(F.count("*").alias("n"), F.count_distinct("file_id").alias("files"))
+
+
+@query("code_documented_modules", f"SELECT file_id, module, count(*) FILTER (name = 'doc') AS docs, bool_or(name = 'moduledoc') AS has_moduledoc, min(line) AS first_line FROM ({_ATTR}) GROUP BY 1, 2")
+def code_documented_modules(spark, folder):
+    a = _set_attributes(spark, folder).select("file_id", "module", "name", "line").distinct()
+    return a.groupBy("file_id", "module").agg(F.count_if(F.col("name") == "doc").alias("docs"), F.bool_or(F.col("name") == "moduledoc").alias("has_moduledoc"), F.min("line").alias("first_line"))
+
+
+@query("code_adopted_behaviours", "SELECT DISTINCT m.file_id, module, attr_value AS behaviour FROM module_attribute m JOIN (SELECT file_id, max(mtime) AS mtime FROM source_file GROUP BY 1) f ON m.file_id = f.file_id AND m.file_mtime = f.mtime WHERE attr_name = 'behaviour' AND attr_value IS NOT NULL")
+def code_adopted_behaviours(spark, folder):
+    """Behaviours by attribute; where the other extractor's table lost a value, it cannot be held against anything."""
+    lost = table(spark, folder, "module_attribute").filter("attr_name = 'behaviour'").groupBy("file_id", "module", "line").agg(F.max("attr_value").alias("v")).filter("v IS NULL")
+    a = _set_attributes(spark, folder).filter("name = 'behaviour'")
+    return a.join(lost, ["file_id", "module", "line"], "left_anti").select("file_id", "module", F.col("value").alias("behaviour")).distinct()
+
+
+def _sample(name: str) -> None:
+    @query(f"sample_{name}", sample.stated_sql(name))
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        """A fact on the literal table of sources: contents, parsed, against stated rows."""
+        src = sample.sources(spark)
+        out = facts.of_current_files(src, errors=True) if name == "parse_errors" else getattr(facts, name)(facts.of_current_files(src))
+        return out.drop("pre", "post")
+
+
+for _n in sample.STATED:
+    _sample(_n)
+
+
 @query("code_graph")
 def code_graph(spark, folder):
     q = facts.build(_nodes(spark, folder))
@@ -424,10 +473,13 @@ def code_graph(spark, folder):
 
 @query("code_parse_errors")
 def code_parse_errors(spark, folder):
-    return facts.parse_errors(_current_files(spark, folder))
+    return facts.of_current_files(table(spark, folder, "source_file"), errors=True)
 
 
 @query("code_statistics")
 def code_statistics(spark, folder):
-    f = _current_files(spark, folder)
-    return facts.snapshot_statistics(f, facts.ast_nodes(f))
+    s = table(spark, folder, "source_file")
+    # lines are counted where contents are read, and the current state is chosen over the counts
+    size = F.size(F.split(F.coalesce("content", F.lit("")), "\n"))
+    lines = s.groupBy("file_id").agg(F.max(F.struct("mtime", F.xxhash64("content", F.col("content").isNull(), "path"), size.alias("lines"), "path")).alias("c")).select("file_id", "c.path", "c.lines")
+    return facts.snapshot_statistics(lines, _nodes(spark, folder))
