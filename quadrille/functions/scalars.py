@@ -74,6 +74,61 @@ IRI_FORMS = [
 ]
 
 
+def iri_parameter(clause: Column, n: Column) -> Column:
+    return iri_child(clause, F.lit("param"), n)
+
+
+def iri_clause(function: Column, n: Column) -> Column:
+    """Clauses count from 0."""
+    return iri_child(function, F.lit("clause"), n)
+
+
+def iri_type(base: Column, module: Column, name: Column, arity: Column) -> Column:
+    return iri_child(iri_module(base, module), F.lit("type"), escape_name(name), arity)
+
+
+def iri_within(parent: Column, kind: str, *parts: Column) -> Column:
+    """Resource within a module, function or other context by its kind and place: ``invocation/m/i``, ``attribute/a``, ``attribute/a/i``, ``quote/i``,
+    ``unquote/i``, ``hygiene/i``, ``alias/i``, ``import/i``, ``require/i``, ``use/i``, ``option/i``, ``anon/i``, ``clause/i``, ``capture/v``, ``&/i`` and
+    ``child/id/i``.  Parts that are texts are escaped."""
+    if kind not in IRI_WITHIN or len(parts) not in IRI_WITHIN[kind]:
+        raise ValueError(f"no resource {kind} with {len(parts)} parts")
+    return iri_child(parent, F.lit(kind), *[escape_name(p.cast("string")) for p in parts])
+
+
+#: Kinds of resources within others and how many parts their names have.
+IRI_WITHIN = {"invocation": (2,), "attribute": (1, 2), "quote": (1,), "unquote": (1,), "hygiene": (1,), "alias": (1,), "import": (1,), "require": (1,), "use": (1,), "option": (1,), "anon": (1,), "clause": (1,), "capture": (1,), "&": (1,), "child": (2,)}
+
+
+def iri_tree(base: Column, application: Column) -> Column:
+    return F.concat(base, F.lit("tree/"), escape_name(application))
+
+
+def iri_call(base: Column, caller: Column, n: Column) -> Column:
+    return F.concat_ws("/", F.concat(base, F.lit("call")), escape_name(caller), n.cast("string"))
+
+
+def iri_parts(c: Column) -> Column:
+    """struct<kind, parts> of a resource name: the groups of its form, in order; null where no form matches."""
+    out = F.lit(None).cast("struct<kind: string, parts: array<string>>")
+    for kind, pattern in reversed(IRI_FORMS):
+        groups = F.array(*[F.regexp_extract(c, pattern, i + 1) for i in range(pattern.count("(") - pattern.count("(?"))])
+        out = F.when(F.rlike(c, F.lit(pattern)), F.struct(F.lit(kind).alias("kind"), groups.alias("parts"))).otherwise(out)
+    return F.when(c.isNotNull(), out)
+
+
+def module_from(c: Column) -> Column:
+    """Name of the module that a module's, function's, clause's or parameter's resource belongs to; null for others."""
+    return F.when(iri_kind(c).isin("module", "function", "clause", "parameter"), unescape_name(F.regexp_extract(c, r"#([^/]+)", 1)))
+
+
+def function_from(c: Column) -> Column:
+    """struct<module, name, arity> of the function of a function's, clause's or parameter's resource; null for others."""
+    pattern = r"#([^/]+)/([^/]+)/(\d+)(?:/clause/.*)?$"
+    part = lambda i: unescape_name(F.regexp_extract(c, pattern, i))
+    return F.when(iri_kind(c).isin("function", "clause", "parameter"), F.struct(part(1).alias("module"), part(2).alias("name"), F.regexp_extract(c, pattern, 3).cast("int").alias("arity")))
+
+
 def iri_kind(c: Column) -> Column:
     out = F.when(c.isNull(), None)
     for kind, pattern in IRI_FORMS:
@@ -173,14 +228,49 @@ def activity_type(message: Column, is_merge: Column | None = None) -> Column:
     return _first(ACTIVITY_PREFIXES, message, other)
 
 
-def issue_numbers(text: Column) -> Column:
-    """Numbers of issues that a text closes."""
-    return F.regexp_extract_all(text, F.lit(r"(?i)\b(?:fix(?:es)?|close[sd]?|resolve[sd]?)\s+#(\d+)"), 1)
+def is_breaking(text: Column) -> Column:
+    """Whether a message announces a breaking change, by its markers or by the word."""
+    return F.contains(text, F.lit("BREAKING CHANGE")) | F.contains(text, F.lit("BREAKING:")) | F.rlike(text, F.lit(BREAKING))
+
+
+#: References to issues of trackers, after a verb that closes them and anywhere.
+ISSUE_CLOSED = r"(?i:\b(?:fix(?:es)?|close[sd]?|resolve[sd]?)\s+)((?i:#\d+|GH-\d+|GL-\d+)|[A-Z][A-Z0-9]+-\d+)"
+ISSUE_NUMBER, ISSUE_KEY = r"(?:^|[^A-Za-z])(#\d+)", r"\b((?i:GH-\d+|GL-\d+)|[A-Z][A-Z0-9]+-\d+)"
+
+
+def closed_issues(text: Column) -> Column:
+    """References that a text closes, such as #12, GH-3 or ABC-4, each once and in order of text; empty for a null."""
+    return F.coalesce(F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(ISSUE_CLOSED), 1), F.upper))), F.array().cast("array<string>"))
+
 
+def mentioned_issues(text: Column) -> Column:
+    """References that a text makes without closing them."""
+    found = F.concat(F.regexp_extract_all(text, F.lit(ISSUE_NUMBER), 1), F.regexp_extract_all(text, F.lit(ISSUE_KEY), 1))
+    return F.coalesce(F.array_sort(F.array_except(F.transform(found, F.upper), closed_issues(text))), F.array().cast("array<string>"))
 
-def tracker_keys(text: Column) -> Column:
-    """Keys like ABC-12 of project trackers."""
-    return F.regexp_extract_all(text, F.lit(r"\b([A-Z][A-Z0-9]+-\d+)"), 1)
+
+def tracker_of(reference: Column) -> Column:
+    return F.when(F.startswith(reference, F.lit("#")), "generic").when(F.startswith(reference, F.lit("GH-")), "github").when(F.startswith(reference, F.lit("GL-")), "gitlab").otherwise("jira")
+
+
+def files_type(paths: Column) -> Column:
+    """Type of a commit by its files alone: tests, documentation, dependencies or pipelines where all of them are such; unknown otherwise and for none."""
+    ends = lambda p, *xs: _any([F.endswith(p, F.lit(x)) for x in xs])
+    begins = lambda p, *xs: _any([F.startswith(p, F.lit(x)) for x in xs])
+    # fixed values: places and endings of files of each type
+    is_test = lambda p: F.contains(p, F.lit("/test/")) | ends(p, "_test.exs", "_test.ex", ".test.js", ".spec.js")
+    is_doc = lambda p: ends(p, ".md", ".txt", ".rst") | begins(p, "docs/") | p.isin("README", "CHANGELOG")
+    is_ci = lambda p: begins(p, ".github/", ".circleci/", ".travis") | p.isin(".gitlab-ci.yml", "Jenkinsfile")
+    every = lambda f: (F.size(paths) > 0) & F.forall(paths, f)
+    mix = F.array_sort(paths).isin(F.array(F.lit("mix.exs")), F.array(F.lit("mix.exs"), F.lit("mix.lock")))
+    return F.when(every(is_test), "test").when(every(is_doc), "docs").when(mix, "deps").when(every(is_ci), "ci").otherwise("unknown")
+
+
+def _any(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out | c
+    return out
 
 
 def issue_url(tracker: Column, repo: Column, number: Column) -> Column:
@@ -196,6 +286,16 @@ CI = r"(?i)action@github\.com|noreply@github\.com|gitlab-ci@|jenkins@|travis@|ci
 ASSISTANTS = r"(?i)copilot|cursor|codeium|tabnine"
 
 
+#: Traces of assistants in messages.
+ASSISTED = r"(?i)Co-authored-by:.*(copilot|cursor|claude|anthropic)|Generated by.*AI|AI-assisted"
+
+
+def agent_type_of_commit(email: Column, name: Column, message: Column) -> Column:
+    """Type of an agent; one who is still a developer counts as assisted where the message says so."""
+    base = agent_type(email, name)
+    return F.when((base == "developer") & F.coalesce(F.rlike(message, F.lit(ASSISTED)), F.lit(False)), "llm").otherwise(base)
+
+
 def agent_type(email: Column, name: Column) -> Column:
     who = F.concat_ws(" ", name, email)
     return F.when(F.rlike(who, F.lit(BOTS)), "bot").when(F.rlike(email, F.lit(CI)), "ci").when(F.rlike(who, F.lit(ASSISTANTS)), "llm").otherwise("developer")
@@ -250,3 +350,81 @@ def owner_pattern(glob: Column, compat: bool = True) -> Column:
         body = F.replace(F.regexp_replace(F.replace(escaped, F.lit("**"), F.lit("\u0001")), r"\*", "[^/]*"), F.lit("\u0001"), F.lit(".*"))
     anchored = F.when(F.startswith(glob, F.lit("/")), F.concat(F.lit("^"), F.substr(body, F.lit(2)))).otherwise(F.concat(F.lit("(^|/)"), body))
     return F.concat(F.regexp_replace(anchored, "/$", ""), F.lit("($|/)"))
+
+
+def valid_sha(c: Column, short: bool = False) -> Column:
+    return F.coalesce(F.rlike(c, F.lit(r"(?i)^[0-9a-f]{7,40}$" if short else r"(?i)^[0-9a-f]{40}$")), F.lit(False))
+
+
+#: Forms of references that are safe to hand on.
+SAFE_REF = r"^(?:HEAD|HEAD~\d+|HEAD\^\d*|[0-9a-fA-F]{7,40}|refs/(?:heads|tags|remotes)/[a-zA-Z0-9_\-./]+|[a-zA-Z][a-zA-Z0-9_\-.]*)$"
+
+
+def valid_ref(c: Column) -> Column:
+    return F.coalesce(F.rlike(c, F.lit(SAFE_REF)), F.lit(False))
+
+
+def safe_path(c: Column) -> Column:
+    """Whether a path is relative and stays below its root; false for a null."""
+    return F.coalesce(~F.rlike(c, F.lit(r"\.\.|\x00|^/|//")), F.lit(False))
+
+
+def normal_path(c: Column) -> Column:
+    """Forward slashes, none doubled or at the end, no single dots."""
+    p = F.regexp_replace(F.replace(c, F.lit("\\"), F.lit("/")), "/+", "/")
+    p = F.when(p == "/", p).otherwise(F.regexp_replace(p, "/$", ""))
+    return F.regexp_replace(F.regexp_replace(p, r"/(?:\./)+", "/"), r"^\./", "")
+
+
+def without_traversal(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(c, r"\.\.+", ""), "^/+", "")
+
+
+def relative_path(path: Column, root: Column) -> Column:
+    """Path below a root; ``.`` for the root itself, null for paths elsewhere."""
+    p, r = normal_path(path), normal_path(root)
+    below = F.concat(r, F.lit("/"))
+    return F.when(p == r, ".").when(F.startswith(p, below), F.substr(p, F.length(below) + 1)).when(~F.startswith(p, F.lit("/")) & safe_path(p), p)
+
+
+def anonymous(email: Column) -> Column:
+    return F.sha2(email, 256)
+
+
+def replacement(text: Column) -> Column:
+    """struct<module, name, arity> of the function that a note names as replacement; null where it names none.  The fullest form counts."""
+    full, call, local, atom = r"([A-Z][\w.]+)\.([a-z_][a-z0-9_]*[!?]?)/(\d+)", r"([A-Z][\w.]+)\.([a-z_][a-z0-9_]*[!?]?)\b", r"\b([a-z_][a-z0-9_]*[!?]?)/(\d+)", r":([a-z_][a-z0-9_]*)\b"
+    x = lambda p, i: F.regexp_extract(text, p, i)
+    row = lambda m, n, a: F.struct(m.alias("module"), n.alias("name"), a.alias("arity"))
+    none, no = F.lit(None).cast("string"), F.lit(None).cast("int")
+    return F.when(F.rlike(text, F.lit(full)), row(x(full, 1), x(full, 2), x(full, 3).cast("int"))).when(F.rlike(text, F.lit(call)), row(x(call, 1), x(call, 2), no)).when(F.rlike(text, F.lit(local)), row(none, x(local, 1), x(local, 2).cast("int"))).when(F.rlike(text, F.lit(atom)), row(none, x(atom, 1), no))
+
+
+#: Types of failures by what their texts say, the first that matches wins.
+ERROR_TYPES = [("download_error", r"(?i)not.found|rate.?limit|http|connection|download"), ("extraction_error", r"(?i)tar|extract|archive|checksum"), ("not_elixir", r"(?i)not.elixir|no.elixir"), ("output_error", r"(?i)disk|write|output|enospc"), ("timeout", r"(?i)time.?out|timed out"), ("analysis_error", r"(?i)analy|parse|memory|killed|raise|exception")]
+
+
+def error_type(text: Column) -> Column:
+    """One of seven types of failure; unknown for other texts and for a null."""
+    return _first(ERROR_TYPES, text, "unknown")
+
+
+def _tenths(n: Column, unit: int) -> Column:
+    """n in units with one decimal, halves up, in whole-number arithmetic."""
+    t = F.floor((n.cast("bigint") * 10 + unit // 2) / unit)
+    return F.concat(F.floor(t / 10).cast("string"), F.lit("."), (t % 10).cast("string"))
+
+
+def bytes_text(n: Column) -> Column:
+    of = lambda unit, name: F.concat(_tenths(n, unit), F.lit(name))
+    return F.when(n >= 1 << 30, of(1 << 30, " GB")).when(n >= 1 << 20, of(1 << 20, " MB")).when(n >= 1024, of(1024, " KB")).otherwise(F.concat(n.cast("string"), F.lit(" bytes")))
+
+
+def duration_text(ms: Column) -> Column:
+    minutes = F.concat(F.floor(ms / 60_000).cast("string"), F.lit("m "), F.floor(ms % 60_000 / 1000).cast("string"), F.lit("s"))
+    return F.when(ms >= 60_000, minutes).when(ms >= 1000, F.concat(_tenths(ms, 1000), F.lit("s"))).otherwise(F.concat(ms.cast("string"), F.lit("ms")))
+
+
+def line_age(written: Column, now: Column) -> Column:
+    """Whole days between two times."""
+    return F.floor((F.unix_timestamp(now) - F.unix_timestamp(written)) / 86_400)

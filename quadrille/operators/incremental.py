@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir, table
+from ..session import shared_folder, table
 from ..streaming.ledger import ListingLedger, SnapshotIndex
 
 
@@ -16,11 +14,6 @@ def clean_path(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, "/+", "/"), r"^(?:\./)+", "")
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A store of one query's own, in the shared folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def completed_runs(log: DataFrame) -> DataFrame:
     """(source, run, listing, at) of the runs that have a ``completed`` row, one row each; a run without a listing is none."""
     done = log.filter(F.col("status") == "completed").groupBy(F.col("run_id").alias("run")).agg(F.max("checkout_id").alias("source"), F.max("snapshot_id").alias("listing"), F.max("state_ts").alias("at"))
@@ -31,7 +24,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """(run_id, path) that each completed run has to handle; see TESTDATA.md.  The whole history goes through a fresh ledger and is committed."""
     log = table(spark, folder, "analysis_run").select("run_id", "checkout_id", "snapshot_id", "state_ts", "status")
     listings = table(spark, folder, "file_state").select(F.col("snapshot_id").alias("listing"), clean_path(F.col("path")).alias("path"), "mtime", "size")
-    ledger = ListingLedger(spark, _folder(spark, "ledger"), ["path"], ["mtime", "size"])
+    ledger = ListingLedger(spark, shared_folder(spark, "ledger"), ["path"], ["mtime", "size"])
     batch = ledger.take(completed_runs(log), listings, first=False)
     ledger.commit()
     return batch.select(F.col("run").alias("run_id"), "path").distinct()
@@ -41,7 +34,7 @@ def _advanced(spark: SparkSession, folder: str) -> tuple[SnapshotIndex, DataFram
     """The index with all listings staged, and the changes between consecutive complete ones of each checkout."""
     log = table(spark, folder, "analysis_run").groupBy(F.col("snapshot_id").alias("snapshot")).agg(F.max("checkout_id").alias("source"), F.max("state_ts").alias("at"), F.max("file_count").alias("file_count"))
     rows = table(spark, folder, "file_state").select(F.col("snapshot_id").alias("snapshot"), clean_path(F.col("path")).alias("path"), "mtime", "size")
-    index = SnapshotIndex(spark, _folder(spark, "index"), "path", ["mtime", "size"])
+    index = SnapshotIndex(spark, shared_folder(spark, "index"), "path", ["mtime", "size"])
     index.stage(rows.join(log.select("snapshot", "source"), "snapshot"), sized_by=rows)
     # a listing without a row is complete if its run says so
     whole = log.join(index.counts(), "snapshot", "left").filter(F.coalesce("keys", F.lit(0)) == F.col("file_count"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import terms as T
+from .graph import reachable
 
 
 def entity_id(path: Column, short_sha: Column) -> Column:
@@ -48,10 +49,20 @@ def agents(commits: DataFrame) -> DataFrame:
 
 
 def file_history(files: DataFrame, commits: DataFrame) -> DataFrame:
-    """(path, sha, position, path_then): the history of each path through renames, newest first; renames chain backwards in time."""
-    at = commits.select("sha", "commit_date")
+    """(path, sha, position, path_then, status): the history of each path that is the last name of a file, newest first, through its renames.
+
+    A rename links the new name to the old one as of its commit; names are followed back by the closure of these links, so a chain of any length takes
+    as many rounds as its logarithm.  Changes of an older name count up to the rename that ended it.
+    """
+    at = files.join(commits.select("sha", "commit_date"), "sha").select("sha", "path", "old_path", "status", "commit_date")
+    renames = at.filter("status = 'R' AND old_path IS NOT NULL").groupBy("old_path", "path").agg(F.max("commit_date").alias("until"))
+    pairs = reachable(renames.select(F.col("path").alias("a"), F.col("old_path").alias("b")))
+    names = at.select("path").distinct().join(renames.select(F.col("old_path").alias("path")), "path", "left_anti")
+    older = pairs.join(names.select(F.col("path").alias("a")), "a", "left_semi").join(renames.groupBy(F.col("old_path").alias("b")).agg(F.max("until").alias("until")), "b")
+    every = names.select("path", F.col("path").alias("path_then"), F.lit(None).cast("timestamp").alias("until")).unionByName(older.select(F.col("a").alias("path"), F.col("b").alias("path_then"), F.col("until").cast("timestamp").alias("until")))
+    changes = every.join(at.withColumnRenamed("path", "path_then"), "path_then").filter(F.col("until").isNull() | (F.col("commit_date").cast("timestamp") < F.col("until")))
     w = Window.partitionBy("path").orderBy(F.col("commit_date").desc(), "sha")
-    return files.join(at, "sha").withColumn("position", F.row_number().over(w) - 1).select("path", "sha", "position", F.coalesce("old_path", "path").alias("path_before"), "status")
+    return changes.withColumn("position", F.row_number().over(w) - 1).select("path", "sha", "position", "path_then", "status")
 
 
 #: Forms of the deprecation note, the first that matches wins.
@@ -85,14 +96,15 @@ def refactorings(removed: DataFrame, added: DataFrame, threshold: float = 0.7) -
     """Renames and moves of functions within a commit.
 
     Both sides are (sha, file, name, arity, body).  Rename: another name, the same arity and a likeness above ``threshold``; move: the same name and
-    arity in another file.  The joins are by commit and arity, or commit and name, with the likeness as residual condition.
+    arity in another file.  Both join by commit and arity, moves by the name as well, with the likeness as residual condition.
     """
     a = removed.select("sha", F.col("file").alias("old_file"), F.col("name").alias("old_name"), "arity", code_tokens(F.col("body")).alias("old_tokens"))
     b = added.select("sha", F.col("file").alias("new_file"), F.col("name").alias("new_name"), "arity", code_tokens(F.col("body")).alias("new_tokens"))
     j = a.join(b, ["sha", "arity"])
     like = jaccard(F.col("old_tokens"), F.col("new_tokens"))
     renamed = j.filter((F.col("old_name") != F.col("new_name")) & (like > threshold)).withColumn("kind", F.lit("rename_function"))
-    moved = a.join(b, ["sha", "arity"]).filter((F.col("old_name") == F.col("new_name")) & (F.col("old_file") != F.col("new_file"))).withColumn("kind", F.lit("move_function"))
+    named = a.join(b.withColumn("old_name", F.col("new_name")), ["sha", "arity", "old_name"])
+    moved = named.filter(F.col("old_file") != F.col("new_file")).withColumn("kind", F.lit("move_function"))
     return renamed.unionByName(moved).select("sha", "kind", "old_file", "old_name", "new_file", "new_name", "arity", like.alias("likeness"))
 
 

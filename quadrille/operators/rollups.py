@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..streaming.history import neighbours
 
 
 def developer_rollup(rows: DataFrame, person: str, ts: str, item: str, name: str | None = None) -> DataFrame:
@@ -23,10 +24,27 @@ def blame_rollup(lines: DataFrame, commit: str, author: str, ts: str, committed:
     return lines.agg(F.count("*").alias("lines"), F.count_distinct(commit).alias("commits"), F.count_distinct(author).alias("authors"), F.min(when)[commit].alias("oldest"), F.max(when)[commit].alias("newest"))
 
 
+def blame_by(lines: DataFrame, keys: list[str], ts: str) -> DataFrame:
+    """Per commit or author: lines, first and last time."""
+    return lines.groupBy(*keys).agg(F.count("*").alias("lines"), F.min(ts).alias("first"), F.max(ts).alias("last"))
+
+
+def scope_totals(files: DataFrame, commit: str, path: str, added: str, deleted: str) -> DataFrame:
+    """Per commit: files, added and deleted lines; a missing count, as binary files have it, is none."""
+    return files.groupBy(commit).agg(F.count_distinct(path).alias("files"), F.coalesce(F.sum(added), F.lit(0)).alias("added"), F.coalesce(F.sum(deleted), F.lit(0)).alias("deleted"))
+
+
+def _at(rows: DataFrame, order: str) -> Column:
+    """The order as a number of seconds or as it is, for slicing."""
+    kind = dict(rows.dtypes)[order]
+    return F.unix_micros(F.col(order).cast("timestamp")) / 1e6 if kind.startswith("timestamp") or kind == "date" else F.col(order)
+
+
 def dedup_consecutive(rows: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
-    """Rows whose value differs from the row before in their group; null differs from every value."""
-    w = Window.partitionBy(group).orderBy(*order)
-    return rows.withColumn("_prev", F.lag(value).over(w)).withColumn("_n", F.row_number().over(w)).filter((F.col("_n") == 1) | ~F.col("_prev").eqNullSafe(F.col(value))).drop("_prev", "_n")
+    """Rows whose value differs from the row before in their group; null differs from every value.  A hot group is cut into slices of its order."""
+    item = F.struct(*order, F.col(value).alias("_v"))
+    out = neighbours(rows.withColumn("_at", _at(rows, order[0])).withColumn("_item", item), group, "_at", "_item", ["before"])
+    return out.filter(F.col("before").isNull() | ~F.col("before._v").eqNullSafe(F.col(value))).drop("_at", "_item", "before")
 
 
 def release_chain(tags: DataFrame, project: str, version: str, compat: bool = False) -> DataFrame:
@@ -37,8 +55,9 @@ def release_chain(tags: DataFrame, project: str, version: str, compat: bool = Fa
 
 def derivations(versions: DataFrame, entity: str, order: list[str], content_hash: str, version: str) -> DataFrame:
     """(entity, version, derived_from) of consecutive versions and whether the content changed."""
-    w = Window.partitionBy(entity).orderBy(*order)
-    return versions.withColumn("derived_from", F.lag(version).over(w)).withColumn("changed", ~F.lag(content_hash).over(w).eqNullSafe(F.col(content_hash))).filter(F.col("derived_from").isNotNull())
+    item = F.struct(*order, F.col(version).alias("_version"), F.col(content_hash).alias("_hash"))
+    out = neighbours(versions.withColumn("_at", _at(versions, order[0])).withColumn("_item", item), entity, "_at", "_item", ["before"])
+    return out.withColumn("derived_from", F.col("before._version")).withColumn("changed", ~F.col("before._hash").eqNullSafe(F.col(content_hash))).filter(F.col("derived_from").isNotNull()).drop("_at", "_item", "before")
 
 
 def last_match_wins(paths: DataFrame, path: str, rules: list[tuple[str, str]]) -> DataFrame:

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from . import sample
 from .functions import scalars as S
 from .functions import terms as T
-from .operators import facts, rollups
+from .operators import facts, provenance, rollups
 from .operators.graph import QuadGraph, mapped, materialise, reachable
 from .plans import shacl, sparql
-from .session import stored, table
+from .session import shared_folder, stored, table
+from .streaming.history import neighbours
+from .streaming.ledger import SnapshotIndex
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -168,12 +170,39 @@ def iri_build(spark, folder):
     return table(spark, folder, "part").select("p_partkey", F.concat(S.iri_module(F.lit("base#"), F.col("p_name")), F.lit("/fun/"), F.col("p_size").cast("string")).alias("iri"))
 
 
-@query("iri_parse", "SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'clause' WHEN 1 THEN 'function' WHEN 2 THEN 'module' ELSE 'location' END AS kind FROM nation")
+_MOD = "replace(url_encode(p_name), '~', '%7E')"
+_FUN = f"'b#' || {_MOD} || '/' || lower(p_brand) || '/' || p_size"
+
+
+def _part_function(spark, folder):
+    """Every part as a function's name: its module from the part's name, its own from the brand."""
+    p = table(spark, folder, "part").withColumn("b", F.lit("b#"))
+    return p.withColumn("fun", S.iri_function(F.col("b"), F.col("p_name"), F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))), F.col("p_size")))
+
+
+_FUN = _FUN.replace("lower(p_brand)", "url_encode(lower(replace(p_brand, '#', '')))")
+
+
+@query("iri_parse", f"SELECT p_partkey, x AS iri, CASE p_partkey % 4 WHEN 0 THEN 'clause' WHEN 1 THEN 'function' WHEN 2 THEN 'module' ELSE 'location' END AS kind, CASE WHEN p_partkey % 4 < 3 THEN p_name END AS module, CASE WHEN p_partkey % 4 < 2 THEN lower(replace(p_brand, '#', '')) END AS name, CASE WHEN p_partkey % 4 < 2 THEN p_size END AS arity FROM (SELECT *, CASE p_partkey % 4 WHEN 0 THEN {_FUN} || '/clause/' || p_size WHEN 1 THEN {_FUN} WHEN 2 THEN 'b#' || {_MOD} ELSE 'b#file/lib/' || {_MOD} || '.ex/L1-' || p_size END AS x FROM part)")
 def iri_parse(spark, folder):
-    n = table(spark, folder, "nation")
-    k = F.col("n_nationkey") % 4
-    iri = F.when(k == 0, "b#M/f/1/clause/2").when(k == 1, "b#M/f/1").when(k == 2, "b#M").otherwise("b#file/x/L1-2")
-    return n.select("n_nationkey", S.iri_kind(iri).alias("kind"))
+    p = _part_function(spark, folder)
+    k = F.col("p_partkey") % 4
+    place = S.iri_location(S.iri_file(F.col("b"), F.concat(F.lit("lib/"), F.col("p_name"), F.lit(".ex"))), F.lit(1), F.col("p_size"))
+    iri = F.when(k == 0, S.iri_clause(F.col("fun"), F.col("p_size"))).when(k == 1, F.col("fun")).when(k == 2, S.iri_module(F.col("b"), F.col("p_name"))).otherwise(place)
+    p = p.withColumn("iri", iri)
+    f = S.function_from(F.col("iri"))
+    return p.select("p_partkey", "iri", S.iri_parts(F.col("iri"))["kind"].alias("kind"), S.module_from(F.col("iri")).alias("module"), f["name"].alias("name"), f["arity"].alias("arity"))
+
+
+_WITHIN = [("invocation", ["p_type", "p_size"]), ("attribute", ["p_type"]), ("attribute", ["p_type", "p_size"]), ("quote", ["p_size"]), ("unquote", ["p_size"]), ("hygiene", ["p_size"]), ("alias", ["p_size"]), ("import", ["p_size"]), ("require", ["p_size"]), ("use", ["p_size"]), ("option", ["p_size"]), ("anon", ["p_size"]), ("capture", ["p_type"]), ("&", ["p_size"]), ("child", ["p_type", "p_size"])]
+
+
+@query("iri_family", "SELECT p_partkey, unnest([" + ", ".join("'b#' || " + _MOD + f" || '/{k}/' || " + " || '/' || ".join("replace(replace(url_encode(p_type), '+', '%20'), '~', '%7E')" if c == "p_type" else c for c in cs) for k, cs in _WITHIN) + ", 'b#' || " + _MOD + " || '/type/' || replace(url_encode(p_type), '~', '%7E') || '/' || p_size, 'b#tree/' || " + _MOD + ", 'b#call/' || " + _MOD + " || '/' || p_size]) AS iri FROM part")
+def iri_family(spark, folder):
+    p = table(spark, folder, "part").withColumn("b", F.lit("b#"))
+    mod = S.iri_module(F.col("b"), F.col("p_name"))
+    all_ = [S.iri_within(mod, k, *[F.col(c) for c in cs]) for k, cs in _WITHIN] + [S.iri_type(F.col("b"), F.col("p_name"), F.col("p_type"), F.col("p_size")), S.iri_tree(F.col("b"), F.col("p_name")), S.iri_call(F.col("b"), F.col("p_name"), F.col("p_size"))]
+    return p.select("p_partkey", F.explode(F.array(*all_)).alias("iri"))
 
 
 @query("agent_id", "SELECT c_custkey, substr(sha256(lower(trim(c_name))), 1, 12) AS id FROM customer")
@@ -220,9 +249,54 @@ def agent_type(spark, folder):
     return table(spark, folder, "events").groupBy(F.col("event_type").alias("name"), S.agent_type(mail, F.lit("someone")).alias("type")).agg(F.count("*").alias("n"))
 
 
-@query("issue_refs", r"SELECT doc_id, regexp_extract_all(text, '\b([A-Z][A-Z0-9]+-\d+)', 1) AS keys FROM documents WHERE text IS NOT NULL AND len(regexp_extract_all(text, '\b([A-Z][A-Z0-9]+-\d+)', 1)) > 0")
+_CLOSED = r"list_sort(list_distinct([upper(x) for x in regexp_extract_all(text, '(?i:\b(?:fix(?:es)?|close[sd]?|resolve[sd]?)\s+)((?i:#\d+|GH-\d+|GL-\d+)|[A-Z][A-Z0-9]+-\d+)', 1)]))"
+_ALL_REFS = r"[upper(x) for x in regexp_extract_all(text, '(?:^|[^A-Za-z])(#\d+)', 1) || regexp_extract_all(text, '\b((?i:GH-\d+|GL-\d+)|[A-Z][A-Z0-9]+-\d+)', 1)]"
+
+
+@query("issue_refs", f"SELECT doc_id, closes, list_sort(list_distinct([x for x in refs if NOT list_contains(closes, x)])) AS mentions FROM (SELECT doc_id, {_CLOSED} AS closes, {_ALL_REFS} AS refs FROM documents WHERE text IS NOT NULL) WHERE len(closes) + len(refs) > 0")
 def issue_refs(spark, folder):
-    return table(spark, folder, "documents").filter("text IS NOT NULL").select("doc_id", S.tracker_keys(F.col("text")).alias("keys")).filter(F.size("keys") > 0)
+    d = table(spark, folder, "documents").filter("text IS NOT NULL")
+    return d.select("doc_id", S.closed_issues(F.col("text")).alias("closes"), S.mentioned_issues(F.col("text")).alias("mentions")).filter(F.size("closes") + F.size("mentions") > 0)
+
+
+@query("issues_closed", "SELECT o_orderkey, 'https://github.com/o/r/issues/' || o_orderkey AS url, 'generic' AS tracker, o_orderkey % 10 = 0 AS breaking FROM orders")
+def issues_closed(spark, folder):
+    """Messages made from orders, one closed issue each."""
+    m = F.concat(F.lit("fixes #"), F.col("o_orderkey").cast("string"), F.lit(", see #"), F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 10 == 0, "\n\nBREAKING: x").otherwise(""))
+    o = table(spark, folder, "orders").withColumn("m", m).withColumn("ref", F.explode(S.closed_issues(F.col("m")))).filter(F.size(S.mentioned_issues(F.col("m"))) == 0)
+    return o.select("o_orderkey", S.issue_url(F.lit("github"), F.lit("https://github.com/o/r"), F.substr("ref", F.lit(2))).alias("url"), S.tracker_of(F.col("ref")).alias("tracker"), S.is_breaking(F.col("m")).alias("breaking"))
+
+
+@query("paths", r"SELECT file_id, mtime, path, NOT regexp_matches(path, '\.\.|^/|//') AS safe, regexp_replace(regexp_replace(regexp_replace(path, '/+', '/', 'g'), '/(\./)+', '/', 'g'), '^\./', '') AS normal, CASE WHEN starts_with(path, 'lib/') THEN substr(path, 5) END AS below FROM (SELECT DISTINCT file_id, mtime, path FROM source_file)")
+def paths(spark, folder):
+    p = table(spark, folder, "source_file").select("file_id", "mtime", "path").distinct()
+    below = S.relative_path(F.concat(F.lit("/r/"), F.col("path")), F.lit("/r/lib/"))
+    return p.select("file_id", "mtime", "path", S.safe_path(F.col("path")).alias("safe"), S.normal_path(F.col("path")).alias("normal"), below.alias("below"))
+
+
+@query("references_checked", "SELECT name, length(sha256(name)) = 64 AS has_hash, false AS long_sha, true AS sha, regexp_matches(name, '^[a-zA-Z][a-zA-Z0-9_.-]*$') AS ref, sha256(name || '@x') AS who FROM (SELECT DISTINCT name FROM package)")
+def references_checked(spark, folder):
+    p = table(spark, folder, "package").select("name").distinct()
+    h = F.sha2("name", 256)
+    return p.select("name", (F.length(h) == 64).alias("has_hash"), S.valid_sha(h).alias("long_sha"), S.valid_sha(F.substring(h, 1, 40)).alias("sha"), S.valid_ref(F.col("name")).alias("ref"), S.anonymous(F.concat("name", F.lit("@x"))).alias("who"))
+
+
+@query("sizes_and_durations", "SELECT file_id, size, CASE WHEN size >= 1024 THEN ((size * 10 + 512) // 1024) // 10 || '.' || ((size * 10 + 512) // 1024) % 10 || ' KB' ELSE size || ' bytes' END AS bytes, CASE WHEN size >= 60000 THEN size // 60000 || 'm ' || (size % 60000) // 1000 || 's' WHEN size >= 1000 THEN ((size * 10 + 500) // 1000) // 10 || '.' || ((size * 10 + 500) // 1000) % 10 || 's' ELSE size || 'ms' END AS took FROM (SELECT DISTINCT file_id, size FROM source_file WHERE size IS NOT NULL)")
+def sizes_and_durations(spark, folder):
+    f = table(spark, folder, "source_file").filter("size IS NOT NULL").select("file_id", "size").distinct()
+    return f.select("file_id", "size", S.bytes_text(F.col("size")).alias("bytes"), S.duration_text(F.col("size")).alias("took"))
+
+
+@query("run_error_types", "SELECT CASE WHEN regexp_matches(error, 'disk') THEN 'output_error' WHEN regexp_matches(error, 'timeout') THEN 'timeout' WHEN regexp_matches(error, 'memory|killed') THEN 'analysis_error' ELSE 'unknown' END AS error_type, count(*) AS n FROM analysis_run GROUP BY 1")
+def run_error_types(spark, folder):
+    return table(spark, folder, "analysis_run").groupBy(S.error_type(F.col("error")).alias("error_type")).agg(F.count("*").alias("n"))
+
+
+@query("deprecation_notes", r"SELECT DISTINCT attr_value AS note, nullif(regexp_extract(attr_value, '\b([a-z_][a-z0-9_]*[!?]?)/(\d+)', 1), '') AS name, CAST(nullif(regexp_extract(attr_value, '\b([a-z_][a-z0-9_]*[!?]?)/(\d+)', 2), '') AS INT) AS arity FROM module_attribute WHERE attr_name = 'deprecated' AND attr_value IS NOT NULL AND regexp_matches(attr_value, '\b([a-z_][a-z0-9_]*[!?]?)/(\d+)') AND NOT regexp_matches(attr_value, '[A-Z][\w.]+\.[a-z_]')")
+def deprecation_notes(spark, folder):
+    """Deprecations that name a local function as their replacement."""
+    a = table(spark, folder, "module_attribute").filter("attr_name = 'deprecated' AND attr_value IS NOT NULL").select(F.col("attr_value").alias("note")).distinct()
+    return a.withColumn("r", S.replacement(F.col("note"))).filter("r.module IS NULL AND r.arity IS NOT NULL").select("note", "r.name", "r.arity")
 
 
 @query("source_url", "SELECT name, 'https://github.com/org/' || name || '/blob/' || substr(sha256(name), 1, 40) || '/lib/' || name || '.ex#L7' AS url FROM (SELECT DISTINCT name FROM package)")
@@ -309,13 +383,74 @@ def derivation_chain(spark, folder):
     return rollups.derivations(table(spark, folder, "events"), "user_id", ["ts", "event_id"], "event_type", "event_id").select("event_id", "derived_from", "changed")
 
 
-@query("snapshot_diff", "SELECT coalesce(a.o_orderkey, b.o_orderkey) AS k, CASE WHEN b.o_orderkey IS NULL THEN 'deleted' WHEN a.o_orderkey IS NULL THEN 'new' WHEN a.v <> b.v THEN 'changed' ELSE 'unchanged' END AS change FROM (SELECT o_orderkey, o_orderstatus AS v FROM orders WHERE o_orderkey % 5 <> 0) a FULL JOIN (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS v FROM orders WHERE o_orderkey % 3 <> 0) b ON a.o_orderkey = b.o_orderkey")
+@query("snapshot_diff", "SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'removed' WHEN a.k IS NULL THEN 'added' ELSE 'changed' END AS change, a.v AS old, b.v AS new FROM (SELECT o_orderkey AS k, o_orderstatus AS v FROM orders) a FULL JOIN (SELECT o_orderkey + 3 AS k, o_orderstatus AS v FROM orders) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR a.v <> b.v")
 def snapshot_diff(spark, folder):
+    """Two whole snapshots, one after the other, against the kept index: the orders, and the orders with every key moved on by three."""
     o = table(spark, folder, "orders")
-    a = o.filter("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("v"), F.lit(True).alias("old"))
-    b = o.filter("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 7 == 0, "X").otherwise(F.col("o_orderstatus")).alias("v"), F.lit(False).alias("old"))
-    g = a.unionByName(b).groupBy("k").agg(F.max(F.when(F.col("old"), F.col("v"))).alias("x"), F.max(F.when(~F.col("old"), F.col("v"))).alias("y"))
-    return g.select("k", F.when(F.col("y").isNull(), "deleted").when(F.col("x").isNull(), "new").when(F.col("x") != F.col("y"), "changed").otherwise("unchanged").alias("change"))
+    index = SnapshotIndex(spark, shared_folder(spark, "orders"), "k", ["v"])
+    index.apply(o.select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("v")))
+    index.swap()
+    changes = index.apply(o.select((F.col("o_orderkey") + 3).alias("k"), F.col("o_orderstatus").alias("v")))
+    return changes.select("k", "change", F.col("old.v").alias("old"), F.col("new.v").alias("new"))
+
+
+@query("blame_by_commit", "SELECT l_orderkey, l_suppkey, count(*) AS lines, min(l_shipdate) AS first, max(l_shipdate) AS last FROM lineitem GROUP BY 1, 2")
+def blame_by_commit(spark, folder):
+    return rollups.blame_by(table(spark, folder, "lineitem"), ["l_orderkey", "l_suppkey"], "l_shipdate")
+
+
+@query("scope_totals", "SELECT l_orderkey, count(DISTINCT l_partkey) AS files, sum(l_linenumber) AS added, sum(CASE WHEN l_returnflag = 'R' THEN l_linenumber ELSE 0 END) AS deleted FROM lineitem GROUP BY 1")
+def scope_totals(spark, folder):
+    li = table(spark, folder, "lineitem").withColumn("gone", F.when(F.col("l_returnflag") == "R", F.col("l_linenumber")))
+    return rollups.scope_totals(li, "l_orderkey", "l_partkey", "l_linenumber", "gone")
+
+
+@query("commits_page", "SELECT doc_id, created_at FROM documents WHERE kind = 'commit' ORDER BY created_at DESC, doc_id LIMIT 20 OFFSET 10")
+def commits_page(spark, folder):
+    """A page of the history, newest first: limit and offset are the feature."""
+    return table(spark, folder, "documents").filter("kind = 'commit'").select("doc_id", "created_at").orderBy(F.col("created_at").desc(), "doc_id").offset(10).limit(20)
+
+
+@query("most_active_packages", "SELECT package, count(*) AS commits FROM documents WHERE kind = 'commit' AND package IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def most_active_packages(spark, folder):
+    """The first packages by their commits: a top-k report."""
+    return table(spark, folder, "documents").filter("kind = 'commit' AND package IS NOT NULL").groupBy("package").agg(F.count("*").alias("commits")).orderBy(F.col("commits").desc(), "package").limit(10)
+
+
+# --- provenance ----------------------------------------------------------------------------------------------------------------------------------
+
+_COMMITS = "(SELECT doc_id, substr(sha256(CAST(doc_id AS VARCHAR)), 1, 40) AS sha, text AS message, created_at AS made, 'dev-' || lower(coalesce(lang, 'x')) || '@x.example' AS email, coalesce(source, 'someone') AS name, lag(doc_id) OVER (PARTITION BY package ORDER BY created_at, doc_id) AS parent FROM documents WHERE kind = 'commit')"
+
+
+def _commits(spark, folder):
+    """The documents of kind commit as a history: each follows the one before it of its package."""
+    d = table(spark, folder, "documents").filter("kind = 'commit'").withColumn("ts", F.expr("unix_seconds(cast(created_at as timestamp))")).withColumn("item", F.struct("created_at", "doc_id"))
+    sha = lambda c: F.substring(F.sha2(F.col(c).cast("string"), 256), 1, 40)
+    d = neighbours(d, "package", "ts", "item", ["before"])
+    return d.select(sha("doc_id").alias("sha"), F.substring(sha("doc_id"), 1, 7).alias("short_sha"), F.col("text").alias("message"), F.coalesce("source", F.lit("someone")).alias("author_name"), F.concat(F.lit("dev-"), F.lower(F.coalesce("lang", F.lit("x"))), F.lit("@x.example")).alias("author_email"),
+        F.lit(None).cast("string").alias("committer_name"), F.lit(None).cast("string").alias("committer_email"), F.col("created_at").alias("author_date"), F.col("created_at").alias("commit_date"), F.when(F.col("before").isNotNull(), F.array(sha("before.doc_id"))).otherwise(F.array().cast("array<string>")).alias("parents"), F.lit(False).alias("is_merge"))
+
+
+@query("prov_activities", f"SELECT 'activity:' || substr(sha, 1, 7) AS activity, sha, {_case(S.ACTIVITY_PREFIXES, 'message', 'commit')} AS type, made AS started, email AS author_email FROM {_COMMITS}")
+def prov_activities(spark, folder):
+    return provenance.activities(_commits(spark, folder)).select("activity", "sha", "type", "started", "author_email")
+
+
+@query("prov_communication", f"SELECT 'activity:' || substr(sha, 1, 7) AS informed, 'activity:' || substr(sha256(CAST(parent AS VARCHAR)), 1, 7) AS informant FROM {_COMMITS} WHERE parent IS NOT NULL")
+def prov_communication(spark, folder):
+    return provenance.communication(_commits(spark, folder))
+
+
+@query("prov_agents", f"SELECT substr(sha256(email), 1, 12) AS agent, email, count(DISTINCT sha) AS activities, min(made) AS first_seen, max(made) AS last_seen FROM (SELECT email, sha, made FROM {_COMMITS} UNION ALL SELECT 'unknown@unknown', sha, made FROM {_COMMITS}) GROUP BY 1, 2")
+def prov_agents(spark, folder):
+    return provenance.agents(_commits(spark, folder)).select("agent", "email", "activities", "first_seen", "last_seen")
+
+
+@query("prov_statements", f"SELECT p, count(*) AS n FROM (SELECT unnest(['type', 'startedAtTime', 'endedAtTime', 'activityType', 'wasAssociatedWith']) AS p FROM {_COMMITS} UNION ALL SELECT 'wasInformedBy' FROM {_COMMITS} WHERE parent IS NOT NULL UNION ALL SELECT unnest(['type', 'developerEmail']) FROM (SELECT DISTINCT email FROM {_COMMITS} UNION SELECT 'unknown@unknown') UNION ALL SELECT 'developerName' FROM (SELECT DISTINCT email FROM {_COMMITS})) GROUP BY 1")
+def prov_statements(spark, folder):
+    c = _commits(spark, folder)
+    none = spark.createDataFrame([], "sha string, status string, path string")
+    return provenance.statements(c, none).groupBy(F.regexp_extract("p", r"([^#/]+)$", 1).alias("p")).agg(F.count("*").alias("n"))
 
 
 @query("resume_skip_processed", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
@@ -456,9 +591,12 @@ def _sample(name: str) -> None:
     @query(f"sample_{name}", sample.stated_sql(name))
     def run(spark: SparkSession, folder: str) -> DataFrame:
         """A fact on the literal table of sources: contents, parsed, against stated rows."""
-        src = sample.sources(spark)
-        out = facts.of_current_files(src, errors=True) if name == "parse_errors" else getattr(facts, name)(facts.of_current_files(src))
-        return out.drop("pre", "post")
+        if name == "parse_errors":
+            return facts.of_current_files(sample.sources(spark), errors=True)
+        key = (spark.sparkContext.applicationId, "sample")
+        if key not in _NODES:
+            _NODES[key] = stored(facts.of_current_files(sample.sources(spark)), "nodes")
+        return getattr(facts, name)(_NODES[key]).drop("pre", "post")
 
 
 for _n in sample.STATED:

@@ -23,8 +23,8 @@ def source_tree(spark: SparkSession, root: str, pattern: str = "*.{ex,exs}", tes
 
 
 class _Page(InputPartition):
-    def __init__(self, place: str, number: int):
-        self.place, self.number = place, number
+    def __init__(self, place: str, first: int, last: int | None):
+        self.place, self.first, self.last = place, first, last
 
 
 class _PageReader(DataSourceReader):
@@ -32,39 +32,64 @@ class _PageReader(DataSourceReader):
         self.options = options
 
     def partitions(self):
-        first, last = int(self.options.get("startPage", 1)), int(self.options["pages"])
-        return [_Page(self.options["path"], n) for n in range(first, last + 1)]
-
-    def read(self, partition: _Page) -> Iterator[tuple]:
-        """One page; a template with {page} names its place: a local path, or an address where the network allows."""
-        place = partition.place.replace("{page}", str(partition.number))
-        text = None
-        if "://" in place:
-            import time
-            import urllib.error
-            import urllib.request
-
-            for attempt in range(4):
-                try:
-                    with urllib.request.urlopen(place, timeout=30) as r:
-                        text = r.read().decode()
-                    break
-                except urllib.error.HTTPError as e:
-                    if e.code == 404:
-                        return
-                    time.sleep((10 if e.code == 429 else 1) * 2**attempt)
-        else:
+        first, last = int(self.options.get("startPage", 1)), self.options.get("pages")
+        if last is None:  # the list ends where a page is empty, which only reading tells
+            return [_Page(self.options["path"], first, None)]
+        return [_Page(self.options["path"], n, n) for n in range(first, int(last) + 1)]
+
+    def page(self, place: str) -> list:
+        """Items of one page, tried again as the server asks; a page that stays unreadable is an error, never an empty page."""
+        if "://" not in place:
             try:
                 with open(place, encoding="utf-8") as f:
-                    text = f.read()
+                    return json.loads(f.read() or "[]")
             except FileNotFoundError:
+                return []
+        import time
+        import urllib.error
+        import urllib.request
+
+        tries = int(self.options.get("retries", 4))
+        for attempt in range(tries):
+            try:
+                with urllib.request.urlopen(place, timeout=30) as r:
+                    return json.loads(r.read().decode() or "[]")
+            except urllib.error.HTTPError as e:
+                if e.code == 404:
+                    return []
+                last, wait = e, retry_after(e.code, e.headers, attempt, time.time())
+            except (urllib.error.URLError, TimeoutError, ValueError) as e:
+                last, wait = e, float(2**attempt)
+            if attempt + 1 < tries:
+                time.sleep(wait)
+        raise OSError(f"page {place} could not be read") from last
+
+    def read(self, partition: _Page) -> Iterator[tuple]:
+        n = partition.first
+        while partition.last is None or n <= partition.last:
+            items = self.page(partition.place.replace("{page}", str(n)))
+            if not items and partition.last is None:
                 return
-        for item in json.loads(text) if text else []:
-            yield (partition.number, json.dumps(item))
+            for item in items:
+                yield (n, json.dumps(item))
+            n += 1
+
+
+def retry_after(code: int, headers, attempt: int, now: float) -> float:
+    """Seconds to wait: what the server's headers say, else longer with each attempt, and ten times as long where it limits the rate."""
+    if headers.get("Retry-After", "").isdigit():
+        return float(headers["Retry-After"])
+    if headers.get("X-RateLimit-Remaining") == "0" and headers.get("X-RateLimit-Reset", "").isdigit():
+        return max(0.0, float(headers["X-RateLimit-Reset"]) - now)
+    return (10.0 if code == 429 else 1.0) * 2**attempt
 
 
 class PagedJson(DataSource):
-    """Pages of a JSON list as rows (page, item): options path with {page}, pages, startPage.  A missing page is empty."""
+    """Pages of a JSON list as rows (page, item): options path with {page}, startPage, pages, retries.
+
+    With ``pages`` they are read in parallel, else one after the other until one is empty.  A missing page is empty; one that cannot be read fails the
+    query.  Local paths must be readable where the tasks run.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -84,8 +109,10 @@ def write_packages(df: DataFrame, folder: str, name: str = "name", version: str
 
 
 def render(df: DataFrame, form: str = "table", limit: int = 1000) -> str:
-    """A small result as text: table, json or csv.  ``limit`` bounds what is brought to the driver."""
-    rows = df.limit(limit).collect()
+    """A small result as text: table, json or csv.  A result of more than ``limit`` rows is refused: it belongs into a file."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rows; write them to a file or raise the limit")
     if form == "json":
         return json.dumps([r.asDict(recursive=True) for r in rows], default=str, ensure_ascii=False)
     cells = [[("" if v is None else str(v)) for v in r] for r in rows]

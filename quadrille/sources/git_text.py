@@ -21,7 +21,7 @@ def commits(texts: DataFrame, text: str = "value") -> DataFrame:
     rec = texts.select(F.explode(F.split(text, "\x1e")).alias("r")).select(F.split(F.regexp_replace("r", r"^\s+", ""), "\x1f").alias("f")).filter(F.size("f") >= 11)
     blank = lambda c: F.when(c != "", c)
     cols = [blank(F.col("f")[i]).alias(n) for i, n in enumerate(_FIELDS[:9])]
-    out = rec.select(*cols, F.filter(F.split(F.col("f")[9], " "), lambda p: p != "").alias("parents"), F.regexp_replace(F.array_join(F.slice("f", 11, 1000), "\x1f"), r"\s+$", "").alias("message"))
+    out = rec.select(*cols, F.filter(F.split(F.col("f")[9], " "), lambda p: p != "").alias("parents"), F.regexp_replace(F.array_join(F.slice("f", F.lit(11), F.size("f")), "\x1f"), r"\s+$", "").alias("message"))
     out = out.withColumn("author_date", F.col("author_date").try_cast("timestamp")).withColumn("commit_date", F.col("commit_date").try_cast("timestamp"))
     return out.withColumn("subject", F.substring_index("message", "\n", 1)).withColumn("body", F.trim(F.substr("message", F.length("subject") + 1))).withColumn("is_merge", F.size("parents") > 1)
 
@@ -83,7 +83,7 @@ def diff_lines(texts: DataFrame, source: str = "repo", text: str = "value") -> D
 def code_owners(texts: DataFrame, source: str = "repo", text: str = "value") -> DataFrame:
     """(repo, line_number, pattern, owners) of ownership files; comments, blank lines and patterns without owners are left out."""
     lines = numbered(texts, source, text).select(source, (F.col("at") + 1).alias("line_number"), F.split(F.trim("line"), r"\s+").alias("p"))
-    return lines.filter((F.size("p") > 1) & ~F.startswith(F.col("p")[0], F.lit("#"))).select(source, "line_number", F.col("p")[0].alias("pattern"), F.slice("p", 2, 10_000).alias("owners"))
+    return lines.filter((F.size("p") > 1) & ~F.startswith(F.col("p")[0], F.lit("#"))).select(source, "line_number", F.col("p")[0].alias("pattern"), F.slice("p", F.lit(2), F.size("p")).alias("owners"))
 
 
 def review_trailers(commits_df: DataFrame, key: str = "sha", message: str = "message") -> DataFrame:
