@@ -11,7 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..syntax import functions, language_of, normal, parse_source
+from .syntax import functions, language_of, normal, parse_source
 from .common import analyse, current, source_files
 
 #: Words that say nothing about what a function does: notes that documentation is yet to come, and words for kind, name and parameters.

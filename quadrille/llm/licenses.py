@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stored, table
-from ..syntax import language_of, normal
+from .syntax import language_of, normal
 from .common import analyse, current, source_files
 
 LICENSE_FILE = r"(?i)(^|/)(licen[cs]es?|copying|unlicense)([-.][\w-]+)?$"

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stored
-from ..syntax import language_of, normal
+from .syntax import language_of, normal
 from .common import analyse, current, source_files
 
 _LINE_COMMENT = {"elixir": r"\#[^\n]*", "python": r"\#[^\n]*", "erlang": r"%[^\n]*", "javascript": r"//[^\n]*|/\*.*?(?:\*/|\Z)"}

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..syntax import fault_of, language_of, normal
+from .syntax import fault_of, language_of, normal
 from .common import PARSED_PATH, analyse, current, ratio, source_files
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from ..syntax import Parsed, language_of, normal, parse_source
+from .syntax import Parsed, language_of, normal, parse_source
 from .common import analyse, current, source_files
 
 #: Frequent function words by language.
