@@ -8,6 +8,7 @@ Files that do not parse give a row of ``parse_errors`` and no nodes.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from functools import reduce
 
@@ -40,7 +41,16 @@ class Leaf(str):
 
 
 def parse_tree(text: str):
-    lexed = elixir.lex(text)
+    """The syntax tree of a text; texts within texts are lexed by recursion, for which the interpreter's limit is raised where one nests beyond it."""
+    try:
+        lexed = elixir.lex(text)
+    except RecursionError:
+        limit = sys.getrecursionlimit()
+        sys.setrecursionlimit(limit + 4 * len(text))
+        try:
+            lexed = elixir.lex(text)
+        finally:
+            sys.setrecursionlimit(limit)
     m = Machine(tables("elixir"))
     line = 1
     for t in lexed.tokens:

@@ -197,3 +197,28 @@ def test_similar_documents_equal_brute_force(spark, tmp_path):
     want |= {(a, b) for n, (a, x) in enumerate(reps) for b, y in reps[n + 1:] if len(x & y) / len(x | y) >= 0.8}
     got = [(r.a, r.b) for r in QUERIES["similar_documents"](spark, str(tmp_path)).collect()]
     assert len(want) > 20 and sorted(got) == sorted(want)
+
+
+def test_deep_files_give_facts(spark):
+    deep = "x = " + '"#{' * 2000 + "1" + '}"' * 2000
+    nested = "x = " + "[" * 3000 + "1" + "]" * 3000
+    df = spark.createDataFrame([(1, "a.ex", deep, 1), (2, "b.ex", nested, 1)], "file_id bigint, path string, content string, mtime bigint")
+    assert facts.of_current_files(df, errors=True).count() == 0 and {r.file_id for r in facts.of_current_files(df).select("file_id").distinct().collect()} == {1, 2}
+
+
+def test_current_states(spark):
+    df = spark.createDataFrame([(1, "a.ex", "defmodule A do\nend", 1), (1, "a.ex", "defmodule B do\nend", 2), (1, "a.ex", "defmodule B do\nend", 2), (2, "b.ex", "defmodule C do\nend", None), (None, "c.ex", "defmodule D do\nend", 1), (None, "c.ex", "defmodule E do\nend", 3), (3, "d.ex", "def (", 1), (3, "d.ex", None, 2)], "file_id bigint, path string, content string, mtime bigint")
+    assert {(r.file_id, r.name) for r in facts.modules(facts.of_current_files(df)).collect()} == {(1, "B"), (2, "C"), (None, "E")}
+    assert facts.of_current_files(df, errors=True).count() == 0
+    assert facts.of_current_files(df.filter("file_id = 3 and mtime = 1"), errors=True).count() == 1
+
+
+def test_texts_of_any_length(spark):
+    values = ", ".join(f'"value number {i}"' for i in range(1000))
+    fields = ", ".join(f":field{i}" for i in range(1000))
+    src = f"defmodule A do\n  @points [{values}]\n  defstruct [{fields}, z: 1]\n  def f(a), do: fn x, b when x > a -> c = x + b; fn a -> a + c + d end end\nend\n"
+    n = facts.of_current_files(spark.createDataFrame([(1, "a.ex", src, 1)], "file_id bigint, path string, content string, mtime bigint"))
+    assert "value number 999" in facts.attributes(n).filter("name = 'points'").first().value
+    got = facts.structs(n).first().fields
+    assert got[-1] == "z" and len(got) == 1001
+    assert sorted((r.line, r.name, r.uses) for r in facts.free_variables(n).collect()) == [(4, "a", 1), (4, "c", 1), (4, "d", 1), (4, "d", 1)]
