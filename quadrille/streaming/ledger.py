@@ -332,9 +332,10 @@ class SnapshotIndex:
         return self.held.select(*cols) if index is None else self.held.select(*cols).unionByName(index.select(*cols))
 
     def fetch(self, changes: DataFrame) -> DataFrame:
-        """The changes with ``old`` and ``new`` as structs of the values; a semi join keeps the values of unchanged keys from being moved."""
+        """The changes with ``old`` and ``new`` as structs of the values.  The changes are written once; where they are small they are broadcast, and no
+        value of an unchanged key is moved."""
         v = self._values()
-        c = changes.withColumnRenamed(self.key, "_k")
+        c = stored(changes, "changes").withColumnRenamed(self.key, "_k")
         on = lambda at: v["source"].eqNullSafe(c["source"]) & v["key"].eqNullSafe(c["_k"]) & (v["snapshot"] == c[at])
         old = c.filter("change <> 'added'").join(v, on("before")).select("_k", c["snapshot"], c["source"], F.col("v").alias("old"), F.lit(None).cast(v.schema["v"].dataType).alias("new"))
         new = c.filter("change <> 'removed'").join(v, on("snapshot")).select("_k", c["snapshot"], c["source"], F.lit(None).cast(v.schema["v"].dataType).alias("old"), F.col("v").alias("new"))
@@ -370,4 +371,7 @@ class SnapshotIndex:
         one = snapshot.select(F.lit(0).alias("source"), F.lit(n + 1).alias("snapshot"), self.key, *self.values)
         self.stage(one)
         at = self.spark.range(1).select(F.lit(0).alias("source"), F.lit(n + 1).alias("snapshot"), F.lit(n + 1).alias("at"))
+        if not n:  # nothing to probe
+            self._next = at.withColumn("old", F.lit(False))
+            return self.held.select(F.col("key").alias(self.key), F.lit("added").alias("change"), F.lit(None).cast(self.held.schema["v"].dataType).alias("old"), F.col("v").alias("new"))
         return self.fetch(self.advance(at)).select(self.key, "change", "old", "new")
