@@ -93,3 +93,10 @@ def test_unpack(spark):
     got = {(r.archive, r.member, r.text, r.error) for r in files.unpack(df).collect()}
     assert {x for x in got if x[0] == "a"} == {("a", "lib/a.ex", "x = 1", None), ("a", "../evil", None, "path_traversal"), ("a", "/abs", None, "absolute_path"), ("a", "l", None, "unsafe_link")}
     assert ("b", None, None, "invalid_archive") in got
+
+
+def test_file_history_follows_renames(spark):
+    commits = spark.createDataFrame([(f"c{i}", f"2024-01-0{i}") for i in range(1, 7)], "sha string, d string").selectExpr("sha", "cast(d as timestamp) as commit_date")
+    files_ = spark.createDataFrame([("c1", "A", "a.ex", None), ("c2", "M", "a.ex", None), ("c3", "R", "b.ex", "a.ex"), ("c4", "R", "c.ex", "b.ex"), ("c5", "M", "c.ex", None), ("c6", "A", "z.ex", None)], "sha string, status string, path string, old_path string")
+    got = [(r.path, r.position, r.sha, r.path_then) for r in provenance.file_history(files_, commits).orderBy("path", "position").collect()]
+    assert got == [("c.ex", 0, "c5", "c.ex"), ("c.ex", 1, "c4", "c.ex"), ("c.ex", 2, "c3", "b.ex"), ("c.ex", 3, "c2", "a.ex"), ("c.ex", 4, "c1", "a.ex"), ("z.ex", 0, "c6", "z.ex")]
