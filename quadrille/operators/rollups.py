@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+import zlib
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import scalars as S
+from ..session import stored
 from ..streaming.history import neighbours
 
 
@@ -100,31 +110,140 @@ def resume(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 
 def shingles(docs: DataFrame, key: str, text: str, width: int = 5) -> DataFrame:
-    """(key, t) with 64-bit hashes of the runs of ``width`` words of each text; a shorter text is one run, one without words has none."""
-    words = docs.select(key, F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}_]+"), lambda x: x != "").alias("_w"))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - (width - 1), F.lit(1))), lambda i: F.xxhash64(F.concat_ws(" ", F.slice("_w", i, width))))
-    return words.filter(F.size("_w") > 0).select(key, runs.alias("t"))
-
-
-def jaccard_links(docs: DataFrame, key: str, tokens: str, threshold: float, min_size: int = 1) -> DataFrame:
+    """(key, t) with 64-bit hashes of the runs of ``width`` words of each text; a shorter text is one run, one without words has a null."""
+    words = docs.select(key, F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}_]+"), "").alias("_w"))
+    run = lambda i: F.xxhash64(*[F.get("_w", i + j) for j in range(width)])  # noqa: E731  (a hash passes over the nulls after the last word)
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("_w") - width, F.lit(0))), run)
+    return words.select(key, F.when(F.size("_w") > 0, runs).alias("t"))
+
+
+#: Bits of a token's place in the table of counts, of them the bits of its part; tokens whose places are held at once.
+PLACE_BITS, PART_BITS, HELD = 26, 6, 8_000_000
+#: Pairs of candidates whose keys are broadcast; with more, the sets are shuffled.
+FEW = 500_000
+#: Words of 64 bits in a set's parities: each bit is the parity of the number of its tokens at that place.
+PARITIES = 8
+
+
+def _places(h: np.ndarray) -> np.ndarray:
+    return (h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PLACE_BITS)
+
+
+def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, sorted distinct tokens) of the rows that have tokens."""
+    t = batch.column(1)
+    at, flat = t.offsets.to_numpy(), t.values.to_numpy(zero_copy_only=False)
+    for i in np.flatnonzero(np.diff(at)):
+        if t[i].is_valid:
+            yield int(i), np.unique(flat[at[i]:at[i + 1]])
+
+
+def _parities(h: np.ndarray) -> np.ndarray:
+    """Two sets differ in at least as many tokens as there are bits in which their parities differ."""
+    odd = np.bincount((_places(h) & np.uint64(64 * PARITIES - 1)).astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch], schema: pa.Schema, min_size: int) -> Iterator[pa.RecordBatch]:
+    """A row (k, n, class) for each set, and rows (part, places, counts) with the sets that hold a token, by place."""
+    held, n_held = [], 0
+
+    def flush() -> pa.RecordBatch:
+        at, n = np.unique(np.concatenate(held), return_counts=True)
+        cuts = np.searchsorted(at, np.arange(1, 1 << PART_BITS) << (PLACE_BITS - PART_BITS))
+        parts = [(i, a, c) for i, (a, c) in enumerate(zip(np.split(at, cuts), np.split(n, cuts))) if len(a)]
+        low = (1 << (PLACE_BITS - PART_BITS)) - 1
+        packed = lambda x: zlib.compress(x.astype("<u4").tobytes(), 1)
+        return pa.record_batch([pa.nulls(len(parts), schema.types[0]), pa.nulls(len(parts), schema.types[1]), pa.nulls(len(parts), schema.types[2]), pa.array([i for i, _, _ in parts], pa.int32()), pa.array([packed(np.diff(a & low, prepend=0)) for _, a, _ in parts], pa.binary()), pa.array([packed(c) for _, _, c in parts], pa.binary())], schema=schema)
+
+    for batch in batches:
+        rows, sizes, ids = [], [], []
+        for i, h in _sets(batch):
+            if len(h) >= min_size:
+                rows.append(i)
+                sizes.append(len(h))
+                ids.append(hashlib.sha256(h.tobytes()).digest())
+                held.append(_places(h).astype(np.uint32))
+                n_held += len(h)
+        yield pa.record_batch([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(sizes, pa.int32()), pa.array(ids, pa.binary()), pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary()), pa.nulls(len(rows), pa.binary())], schema=schema)
+        if n_held > HELD:
+            yield flush()
+            held, n_held = [], 0
+    if held:
+        yield flush()
+
+
+def _merged(rows: pa.Table, fold: int) -> pa.Table:
+    """One part of the table of counts: each place as ten times the logarithm of its count, one byte."""
+    total = np.zeros(1 << (PLACE_BITS - PART_BITS), np.int64)
+    for at, n in zip(rows["at"].to_pylist(), rows["c"].to_pylist()):
+        total[np.cumsum(np.frombuffer(zlib.decompress(at), "<u4").astype(np.int64))] += np.frombuffer(zlib.decompress(n), "<u4")
+    total = total.reshape(-1, 1 << fold).sum(axis=1)
+    level = np.minimum(np.rint(10 * np.log2(np.maximum(total, 1))), 255).astype(np.uint8)
+    return pa.table({"part": rows["part"][:1], "level": pa.array([level.tobytes()], pa.binary())})
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], levels, fold: int, threshold: float, min_size: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """(k, n, w, parities) of each set's rarest tokens; those that no other set has are left out, since they lead to no pair."""
+    level = np.frombuffer(levels.value, np.uint8)
+    for batch in batches:
+        rows, sizes, tokens, odd = [], [], [], []
+        for i, h in _sets(batch):
+            n = len(h)
+            if n < min_size:
+                continue
+            rare = level[_places(h) >> np.uint64(fold)]
+            first = np.argsort(rare, kind="stable")[: n - math.ceil(n * threshold - 1e-9) + 1]
+            w = h[first[rare[first] > 0]]
+            rows.append(np.full(len(w), i))
+            sizes.append(np.full(len(w), n, np.int32))
+            tokens.append(w)
+            odd.append(np.broadcast_to(_parities(h), (len(w), PARITIES)) if len(w) else np.empty((0, PARITIES), np.int64))
+        if rows:
+            bits = np.concatenate(odd)
+            yield pa.record_batch([batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(tokens)), *[pa.array(np.ascontiguousarray(bits[:, i])) for i in range(PARITIES)]], schema=schema)
+
+
+def jaccard_links(docs: DataFrame, key: str, tokens: str | Callable[[DataFrame], DataFrame], threshold: float, min_size: int = 1) -> DataFrame:
     """(a, b, similarity) of sets with a Jaccard similarity of at least ``threshold``, a < b.
 
     Prefix filtering: tokens are ordered by rarity over all sets, and two similar sets share one of their first size - ceil(t * size) + 1 tokens,
-    so only those are joined; sizes that cannot reach the threshold are dropped before the exact check.  Equal sets form a class first, and each
-    class is compared once; its members are linked to the class's least key.  Null and empty sets have no links.
+    so only those are joined; sizes and parities that cannot reach the threshold are dropped before the exact check.  Any one order of all tokens finds every
+    pair, so rarity is read off a table of counts by hash of at most 64 MB, and no token is shuffled for it: a place counted once is a token
+    of one set.  Equal sets form a class first, and each class is compared once; its members are linked to the class's least key.  Null and
+    empty sets have no links.  ``tokens`` is a column of ``docs``, or makes (key, t) of them in each of the three passes, in the last one of candidates only.
     """
-    sets = docs.filter(F.size(tokens) >= min_size).select(F.col(key).alias("k"), F.array_sort(F.array_distinct(tokens)).alias("t"))
-    classes = sets.groupBy("t").agg(F.min("k").alias("k"))
-    weights = classes.select(F.explode("t").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
-    per = classes.select("k", F.size("t").alias("n"), F.explode("t").alias("w")).join(weights, "w")
-    w = Window.partitionBy("k").orderBy("df", "w")
-    prefix = per.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("k", "n", "w")
+    spark = docs.sparkSession
+    made = lambda d: (d.select(key, F.col(tokens).alias("t")) if isinstance(tokens, str) else tokens(d)).select(F.col(key).alias("k"), "t")
+    sets = made(docs)
+    hashed = sets if sets.schema["t"].dataType.elementType == T.LongType() else sets.select("k", F.transform("t", lambda x: F.xxhash64(x)).alias("t"))
+    kind = T.StructField("k", sets.schema["k"].dataType)
+    form = T.StructType([kind, T.StructField("n", T.IntegerType()), T.StructField("id", T.BinaryType()), T.StructField("part", T.IntegerType()), T.StructField("at", T.BinaryType()), T.StructField("c", T.BinaryType())])
+    arrow = to_arrow_schema(form)
+    first = stored(hashed.mapInArrow(lambda b: _counted(b, arrow, min_size), form), "sets")
+    known = first.filter("part is null").select("k", "n", "id")
+    total = known.agg(F.sum("n")).first()[0] or 1
+    bits = min(max(total.bit_length() + 1, PART_BITS + 4), PLACE_BITS)
+    fold = PLACE_BITS - bits
+    levels = bytearray(1 << bits)
+    width = 1 << (bits - PART_BITS)
+    for r in first.filter("part is not null").select("part", "at", "c").groupBy("part").applyInArrow(lambda x: _merged(x, fold), "part int, level binary").collect():
+        levels[r.part * width:(r.part + 1) * width] = r.level
+    table = spark.sparkContext.broadcast(bytes(levels))
+    short = T.StructType([kind, T.StructField("n", T.IntegerType()), T.StructField("w", T.LongType()), *[T.StructField(f"p{i}", T.LongType()) for i in range(PARITIES)]])
+    arrow_short = to_arrow_schema(short)
+    same = known.join(known.groupBy("id").agg(F.min("k").alias("a")), "id").filter(F.col("k") > F.col("a")).select("a", F.col("k").alias("b"), F.lit(1.0).alias("similarity")).distinct()
+    prefix = hashed.mapInArrow(lambda b: _prefixes(b, table, fold, threshold, min_size, arrow_short), short).join(same.select(F.col("b").alias("k")), "k", "left_anti")
     a, b = prefix.alias("a"), prefix.alias("b")
-    cand = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.k") < F.col("b.k")) & (F.col("a.n") >= F.col("b.n") * threshold) & (F.col("b.n") >= F.col("a.n") * threshold))
-    cand = cand.select(F.col("a.k").alias("a"), F.col("b.k").alias("b")).distinct()
-    x = cand.join(classes.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a").join(classes.select(F.col("k").alias("b"), F.col("t").alias("tb")), "b")
-    common = F.size(F.array_intersect("ta", "tb"))
-    sim = common / (F.size("ta") + F.size("tb") - common)
-    near = x.select("a", "b", sim.alias("similarity")).filter(F.col("similarity") >= threshold)
-    same = sets.join(classes.select(F.col("k").alias("a"), "t"), "t").filter(F.col("k") > F.col("a")).select("a", F.col("k").alias("b"), F.lit(1.0).alias("similarity"))
+    t = F.lit(threshold)
+    fits = (F.col("a.n") >= F.col("b.n") * t - 1e-9) & (F.col("b.n") >= F.col("a.n") * t - 1e-9)
+    differ = sum((F.bit_count(F.col(f"a.p{i}").bitwiseXOR(F.col(f"b.p{i}"))) for i in range(PARITIES)), F.lit(0))
+    fits &= differ <= (F.col("a.n") + F.col("b.n")) * ((1 - threshold) / (1 + threshold)) + 1e-6
+    cand = stored(a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.k") < F.col("b.k")) & fits).select(F.col("a.k").alias("a"), F.col("b.k").alias("b")).distinct(), "candidates")
+    keys = cand.select(F.col("a").alias(key)).union(cand.select(F.col("b").alias(key)))
+    some = made(docs.join(F.broadcast(keys) if cand.count() <= FEW else keys, key, "left_semi")).select("k", F.array_distinct("t").alias("t"))
+    x = cand.join(some.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a").join(some.select(F.col("k").alias("b"), F.col("t").alias("tb")), "b")
+    x = x.select("a", "b", F.size("ta").alias("na"), F.size("tb").alias("nb"), F.size(F.array_intersect("ta", "tb")).alias("c"))
+    sim = F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))
+    near = x.select("a", "b", sim.alias("similarity")).filter(F.col("similarity") >= threshold).distinct()
     return near.unionByName(same)

@@ -525,7 +525,7 @@ def jaccard_pairs(spark, folder):
 @query("similar_documents")
 def similar_documents(spark, folder):
     """Documents with a Jaccard similarity of their five-word shingles of at least 0.8: equal ones are linked to the least of their class, of other classes the least are linked."""
-    return rollups.jaccard_links(rollups.shingles(table(spark, folder, "documents"), "doc_id", "text"), "doc_id", "t", 0.8)
+    return rollups.jaccard_links(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", lambda d: rollups.shingles(d, "doc_id", "text"), 0.8)
 
 
 # --- code facts ----------------------------------------------------------------------------------------------------------------------------------

@@ -199,6 +199,20 @@ def test_similar_documents_equal_brute_force(spark, tmp_path):
     assert len(want) > 20 and sorted(got) == sorted(want)
 
 
+def test_similar_documents_shuffle_no_tokens(spark, sf):
+    from quadrille.queries import QUERIES
+
+    plan = QUERIES["similar_documents"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan and "Generate" not in plan
+
+
+def test_similar_sets_at_the_very_threshold(spark):
+    sets = [(1, list(range(100))), (2, list(range(55)))]
+    for kind in ("bigint", "string"):
+        df = spark.createDataFrame(sets, "k bigint, t array<bigint>").selectExpr("k", f"cast(t as array<{kind}>) AS t")
+        assert [tuple(r) for r in rollups.jaccard_links(df, "k", "t", 0.55).collect()] == [(1, 2, 0.55)]
+
+
 def test_deep_files_give_facts(spark):
     deep = "x = " + '"#{' * 2000 + "1" + '}"' * 2000
     nested = "x = " + "[" * 3000 + "1" + "]" * 3000
